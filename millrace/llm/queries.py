@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .langid import op9_language_id
 from .mixing import op1_mixing
+from .packing import op6_packing
 from .sharding import op2_sharding
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding}
+QUERIES = {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op6_packing": op6_packing, "op9_language_id": op9_language_id}
 ORACLES: dict[str, str] = {}
