@@ -27,3 +27,24 @@ def build_session(app: str = "millrace", master: str = "local[8]", shuffle_parti
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; columns and filters used later are pushed into this scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so their Python workers can import it."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="millrace-ship-")) / "millrace.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(top.rglob("*.py")):
+            archive.write(path, str(path.relative_to(top.parent)))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
