@@ -3,8 +3,8 @@
 The budget (a share of all words) is split over the sources by weight, no target above a multiple of its source's
 words; what a capped source leaves is reshared by weight. The budget is then a number of equal blocks. Blocks go to
 sources, and within a source to its shards, by highest quotients votes / (2 k - 1). In a shard the documents stand
-in a seeded order, once for each allowed pass; the shard's quota of blocks is chosen from that sequence at even
-steps from a seeded start. All counts come from prefix sums in closed form, so no block is ever a row.
+in a seeded order, once for each allowed pass; the shard's quota of blocks is taken from the start of that sequence.
+All counts come from prefix sums in closed form, so no block is ever a row.
 """
 
 from __future__ import annotations
@@ -107,22 +107,31 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = shards.withColumn("n_shards", F.count(F.lit(1)).over(Window.partitionBy("source"))).withColumn("tie", F.col("shard"))
     shards = stored(seats(shards, ["source"], "shard_size", "source_quota", "n_shards").select("source", "shard", "shard_size", "quota"), "quotas")
-    # the shard's sequence: `passes` times its words, cut into `blocks` equal blocks of about `block` words
-    shards = shards.withColumn("length", F.col("shard_size") * passes).withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("length") / block).cast("long")))
-    shards = shards.withColumn("quota", F.least("quota", "blocks")).withColumn("start", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), "blocks"))
+    # the shard's sequence: `passes` times its documents, cut into equal blocks of about `block` words; its quota of
+    # blocks is taken from the start of the seeded order, so that documents are taken whole but for one of a shard
+    length = F.col("shard_size") * passes
+    blocks = F.greatest(F.lit(1), F.round(length / block).cast("long"))
+    shards = shards.withColumn("limit", F.round(F.least("quota", blocks) * length / blocks).cast("long"))
     inside = Window.partitionBy("source", "shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("_end", F.sum("size").over(inside)).withColumnRenamed("source", "_source").withColumnRenamed("shard", "_shard")
     placed = placed.join(shards, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_shard") == F.col("shard")), "inner")
+    taken, copies = F.lit(0).cast("long"), F.lit(0)
+    for p in range(passes):
+        room = F.col("limit") - p * F.col("shard_size") - (F.col("_end") - F.col("size"))
+        taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), room))
+        copies = copies + (room * 2 > F.col("size")).cast("int")
+    placed = placed.withColumn("taken", taken).withColumn("copies", copies)
+    return placed.select("doc_id", "source", *ours, "copies", "shard", F.col("quota").alias("shard_quota"))
 
-    def taken_to(place: str) -> str:
-        j = f"(({place}) * blocks div greatest(length, 1))"
-        before, after = f"(({j} * quota + start) div blocks)", f"((({j} + 1) * quota + start) div blocks)"
-        part = f"((({place}) * blocks % greatest(length, 1)) / greatest(length, 1))"
-        return f"cast(floor(({before} + ({after} - {before}) * {part}) * (length / blocks) + 0.5) as long)"
 
-    pieces = " + ".join(f"({taken_to(f'_end + {p} * shard_size')} - {taken_to(f'_end - size + {p} * shard_size')})" for p in range(passes))
-    placed = placed.withColumn("taken", F.expr(pieces))
-    return placed.select("doc_id", F.col("source"), *ours, "shard", F.col("quota").alias("shard_quota"))
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; a document that is taken in part counts by its half.
+
+    All columns stay. Rows of equal doc_id and source share one decision, the largest of theirs.
+    """
+    copies = mix(docs, **settings).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    kept = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    return kept.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
