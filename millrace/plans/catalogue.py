@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import relational, retrieval
+
+QUERIES = relational.QUERIES | retrieval.QUERIES
+ORACLES = relational.ORACLES | retrieval.ORACLES
