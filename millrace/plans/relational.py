@@ -171,9 +171,6 @@ SQL: dict[str, str] = {
         from (select doc_id, row_number() over (order by doc_id) as rn from {documents}) t""",
     "latest_row": "select user_id, max(event_id) as event_id from {events} e where ts = (select max(ts) from {events} f where f.user_id = e.user_id) group by user_id",
     # events
-    "latency_marks": """
-        select user_id, event_type, round(extract(epoch from min(ts)) - extract(epoch from min(min(ts)) over (partition by user_id)), 3) as seconds_after
-        from {events} group by user_id, event_type""",
     "trace_rollup": """
         select user_id, cast(ts as date) as day, count(*) as chunks, round(sum(value), 2) as total, max(case when event_type = 'purchase' then 1 else 0 end) as saw_purchase,
                row_number() over (partition by user_id order by cast(ts as date)) as seq
