@@ -87,7 +87,7 @@ class Scanner:
                 blocks = np.concatenate([mixed, np.full(pad, 2**64 - 1, np.uint64)]).reshape(-1, step).min(1)
                 width = -(-size // step)
                 least = blocks.copy()
-                for k in range(1, width):
+                for k in range(1, min(width, len(blocks))):
                     least[: len(least) - k] = np.minimum(least[: len(least) - k], blocks[k:])
                 for i in members:
                     own = self.templates[i][2] * seed
