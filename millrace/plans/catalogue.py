@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, retrieval
+from . import relational, retrieval, scoring
 
-QUERIES = relational.QUERIES | retrieval.QUERIES
-ORACLES = relational.ORACLES | retrieval.ORACLES
+QUERIES = relational.QUERIES | retrieval.QUERIES | scoring.QUERIES
+ORACLES = relational.ORACLES | retrieval.ORACLES | scoring.ORACLES
