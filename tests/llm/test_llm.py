@@ -278,3 +278,23 @@ def test_image_copies(spark):
     table = [(i, s.shape[0], s.shape[1], bytearray(np.rint(s).astype(np.uint8).tobytes())) for i, s in images] + [(20, None, None, None), (21, 4, 4, bytearray(16))]
     out = {r["image_id"]: r["class_id"] for r in media.image_copies(spark.createDataFrame(table, "image_id long, height int, width int, pixels binary")).collect()}
     assert (out[10], out[11], out[12]) == (0, 1, 2) and all(out[i] == i for i in (0, 1, 2, 3, 4, 5, 20, 21))
+
+
+def test_image_copies_meet_in_crowded_buckets(spark):
+    """Descriptors of two families share all quarters but one bit each; each image agrees with its own family alone."""
+    corners, rng = [], random.Random(3)
+    places = [(20 + 9 * i, 15 + 7 * (i * i % 11)) for i in range(6)]
+    for family in (0, 1):
+        for image in range(10):
+            for i, (x, y) in enumerate(places):
+                if family:
+                    x, y = rng.randrange(10, 200), rng.randrange(10, 200)
+                corners.append((100 * family + image, media.spot(float(x), float(y), 1.0, 0.1), (i << 40) | family, family << 50))
+    met = media.matches(spark.createDataFrame(corners, "h long, spot long, hi long, lo long"), 20).collect()
+    pairs = defaultdict(set)
+    for r in met:
+        assert r["a"] < r["b"]
+        pairs[r["a"], r["b"]].add((r["p"], r["q"]))
+    agreed = {k for k, v in pairs.items() if media.consensus(*np.array(sorted(v)).T, 4)}
+    linked = {x for k in agreed for x in k}
+    assert linked == set(range(10)) and all((0, i) in agreed for i in range(1, 10))
