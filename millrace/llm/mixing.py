@@ -83,14 +83,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, pas
     return totals.withColumn("target", F.least("cap", F.col("weight") * F.lit(rate))).withColumn("n_sources", F.lit(n)), n
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, passes: int = 2, block: int = 16, seed: int = 7, rows_per_shard: int = 50_000) -> DataFrame:
-    """docs with size, source_size, target and taken (words of the document that the mix takes, repeats counted).
-
-    Null text has size 0; a null source is a source of its own; an empty table gives an empty result; repeated rows
-    each count; columns of docs with one of our names give way to ours.
-    """
+def placed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, passes: int = 2, block: int = 16, seed: int = 7, rows_per_shard: int = 50_000) -> DataFrame:
+    """The rows of mix() with _h, the hash of their text."""
     ours = ["size", "source_size", "target", "taken"]
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = docs.select("doc_id", "source", F.xxhash64("text").alias("_h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = stored(sizes, "sizes")
     targets, n_sources = source_targets(sizes, weights, share, passes)
     targets = stored(
@@ -102,8 +98,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     total = sizes.count()
     per_shard = max(64, min(rows_per_shard, total // 4096))
     dealt = sizes.join(small(targets, n_sources), sizes["source"].eqNullSafe(targets["source"]), "inner").drop(targets["source"])
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    dealt = dealt.withColumn("shard", F.pmod(key, F.ceil(F.col("docs") / per_shard))).withColumn("_order", F.xxhash64(F.lit(seed + 1), "doc_id"))
+    # a null takes no part in a hash: rows without an id are dealt by their text, all others by their id alone
+    own = F.when(F.col("doc_id").isNull(), F.col("_h"))
+    key = F.xxhash64(F.lit(seed), "doc_id", own)
+    dealt = dealt.withColumn("shard", F.pmod(key, F.ceil(F.col("docs") / per_shard))).withColumn("_order", F.xxhash64(F.lit(seed + 1), "doc_id", own))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = shards.withColumn("n_shards", F.count(F.lit(1)).over(Window.partitionBy("source"))).withColumn("tie", F.col("shard"))
     shards = stored(seats(shards, ["source"], "shard_size", "source_quota", "n_shards").select("source", "shard", "shard_size", "quota"), "quotas")
@@ -112,26 +110,42 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     length = F.col("shard_size") * passes
     blocks = F.greatest(F.lit(1), F.round(length / block).cast("long"))
     shards = shards.withColumn("limit", F.round(F.least("quota", blocks) * length / blocks).cast("long"))
-    inside = Window.partitionBy("source", "shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn("_end", F.sum("size").over(inside)).withColumnRenamed("source", "_source").withColumnRenamed("shard", "_shard")
-    placed = placed.join(shards, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_shard") == F.col("shard")), "inner")
+    inside = Window.partitionBy("source", "shard").orderBy("_order", "doc_id", "size", "_h").rowsBetween(Window.unboundedPreceding, 0)
+    at = dealt.withColumn("_end", F.sum("size").over(inside)).withColumnRenamed("source", "_source").withColumnRenamed("shard", "_shard")
+    at = at.join(shards, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_shard") == F.col("shard")), "inner")
     taken, copies = F.lit(0).cast("long"), F.lit(0)
     for p in range(passes):
         room = F.col("limit") - p * F.col("shard_size") - (F.col("_end") - F.col("size"))
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), room))
         copies = copies + (room * 2 > F.col("size")).cast("int")
-    placed = placed.withColumn("taken", taken).withColumn("copies", copies)
-    return placed.select("doc_id", "source", *ours, "copies", "shard", F.col("quota").alias("shard_quota"))
+    at = at.withColumn("taken", taken).withColumn("copies", copies)
+    return at.select("doc_id", "source", "_h", *ours, "copies", "shard", F.col("quota").alias("shard_quota"))
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """docs with size, source_size, target and taken (words of the document that the mix takes, repeats counted).
+
+    Null text has size 0; a null source is a source of its own; an empty table gives an empty result; repeated rows
+    each count; columns of docs with one of our names give way to ours. Settings: see placed().
+    """
+    return placed(docs, **settings).drop("_h")
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; a document that is taken in part counts by its half.
 
-    All columns stay. Rows of equal doc_id and source share one decision, the largest of theirs.
+    All columns stay. Rows of equal doc_id, source and text share what the mix takes of them as evenly as can be.
     """
-    copies = mix(docs, **settings).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    kept = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return kept.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = placed(docs, **settings).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_h")
+    copies = stored(copies.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_h"))
+    kept = docs.join(copies, same).withColumn("_each", F.floor(F.col("_copies") / F.col("_rows")).cast("int")).withColumn("_over", F.col("_copies") % F.col("_rows"))
+    # equal rows stand together in their shard's sequence, so few groups are cut by a quota and have rows to number
+    if copies.where("_copies % _rows > 0").limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("_id", "_source", "_h").orderBy("_over"))
+        uneven = kept.where("_over > 0").withColumn("_n", nth).withColumn("_each", F.col("_each") + (F.col("_n") <= F.col("_over")).cast("int")).drop("_n")
+        kept = kept.where("_over = 0").unionByName(uneven)
+    return kept.where("_each > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

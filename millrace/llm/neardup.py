@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, small, stored
@@ -180,6 +180,21 @@ def verified(pairs: DataFrame, sketched: DataFrame, threshold: float) -> DataFra
     return known.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, similarity double").where("similarity > 0")
 
 
+def classified(docs: DataFrame, k: int, threshold: float, bands: int, several: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of docs (doc_id, h, ...), and for each text h its class: class_id, first (text that stands for the class), links, copies."""
+    sketched = stored(sketches(docs, k, bands, several), "sketches")
+    texts = stored(sketched.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts")
+    links = stored(verified(candidates(texts, bands, threshold), sketched, threshold), "links")
+    roots = components(links)
+    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    linked = texts.select("h", "rep").join(roots, F.col("h") == F.col("node")).select("h", "root", "rep")
+    # of texts with one least id the least hash stands for the class; a null id only among nulls
+    least = linked.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("f")).select("root", F.col("f.rep").alias("class_id"), F.col("f.h").alias("first"))
+    linked = linked.join(least, "root").join(counts, F.col("h") == F.col("node")).select("h", "class_id", "first", "links")
+    classes = texts.select("h", "rep", "copies").join(linked, "h", "left").select(F.col("h").alias("_h"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("first", "h").alias("first"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), "copies")
+    return sketched, stored(classes, "classes")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 20, several: int = 3) -> DataFrame:
     """doc_id, class_id, links, copies for each row of docs.
 
@@ -189,28 +204,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
     doc_id is the class_id only where all ids of the class are null. Empty tables give no rows. Other columns are
     ignored.
     """
-    sketched = stored(sketches(docs, k, bands, several), "sketches")
-    texts = stored(sketched.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts")
-    links = stored(verified(candidates(texts, bands, threshold), sketched, threshold), "links")
-    roots = components(links)
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    linked = texts.select("h", "rep").join(roots, F.col("h") == F.col("node")).select("h", "root", "rep")
-    least = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = linked.join(least, "root").join(counts, F.col("h") == F.col("node")).select("h", "class_id", "links")
-    classes = stored(texts.select("h", "rep", "copies").join(linked, "h", "left").select(F.col("h").alias("_h"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), "copies"), "classes")
+    sketched, classes = classified(docs, k, threshold, bands, several)
     return sketched.select("doc_id", "h").join(classes, F.col("h") == F.col("_h")).select("doc_id", "class_id", "links", "copies")
 
 
-def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """docs without the near duplicates: of each class the row of the least doc_id (one of equal rows) stays.
+def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 20, several: int = 3) -> DataFrame:
+    """docs without the near duplicates: of each class one row of the least doc_id stays.
 
-    All columns stay as they are. A null doc_id is kept only in a class of null ids.
+    All columns stay as they are. A null doc_id is kept only in a class of null ids. Where the least id (or null) has
+    several texts in the class, the text of least hash stays; classes that share an id keep a row each.
     """
-    classes = near_duplicates(docs, **settings).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    rows = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    again = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.withColumn("_n", rows).where("_n = 1").drop("_n") if again else kept
+    sketched, classes = classified(docs, k, threshold, bands, several)
+    firsts = classes.where(F.col("_h") == F.col("first")).select("_h", F.col("class_id").alias("_id"))
+    firsts = sketched.select("doc_id", "h").join(firsts, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    firsts = stored(firsts.groupBy("_h", "_id").agg(F.count(F.lit(1)).alias("_many")), "firsts")
+    kept = docs.join(firsts, (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    if not firsts.where("_many > 1").limit(1).count():
+        return kept.select(*docs.columns)
+    repeated = kept.where("_many > 1").groupBy("_h").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.where("_many = 1").select(*docs.columns).unionByName(repeated)
 
 
 def op7_order_minhash(spark, sf_dir: str) -> DataFrame:

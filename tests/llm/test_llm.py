@@ -235,6 +235,24 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_rows_without_ids_or_with_one_id_stand_for_their_own_text(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(12)]
+    given = [(None, t, "a") for t in texts[:8]] + [(7, t, "a") for t in texts[8:]] + [(None, texts[0], "a"), (3, texts[1], "b"), (7, texts[8] + " new", "a"), (7, texts[9], "a")]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string")
+    kept = neardup.one_of_each(docs).collect()
+    assert len(kept) == 12  # one of each class; 8 and its near copy have the same id
+    found = Counter((r["doc_id"], min(i for i, t in enumerate(texts) if r["text"].startswith(t))) for r in kept)
+    assert found == Counter([(None, 0), (3, 1), *((None, i) for i in range(2, 8)), *((7, i) for i in range(8, 12))])
+    again = docs.unionByName(docs)
+    taken = Counter()
+    for r in mixing.placed(again).collect():
+        taken[r["doc_id"], r["source"], r["_h"]] += r["copies"]
+    out = again.sparkSession.createDataFrame(mixing.mixed_documents(again).collect(), docs.schema)
+    mixed = {(r["doc_id"], r["source"], r["_h"]): r["count"] for r in out.selectExpr("*", "xxhash64(text) _h").groupBy("doc_id", "source", "_h").count().collect()}
+    assert mixed == {k: n for k, n in taken.items() if n} and 0 < sum(mixed.values()) < 2 * again.count()
+
+
 def test_token_counts(docs, empty):
     from tokenizers.models import Unigram
 
