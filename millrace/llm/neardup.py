@@ -5,9 +5,12 @@ A text is the sequence of its k-mers (k words each), every k-mer labelled with h
 equal signatures make candidates. Texts with the same k-mers in another order thus rarely meet. Equal texts are one
 representative from the start.
 
-A bucket of equal signatures, however large, links each member to two members chosen by hash, another two in every
-band, so its rows stay in proportion to its members; large buckets are parted again by the next band's signature and
-linked once more inside the parts. A candidate is verified by the longest common subsequence L of the two k-mer
+A bucket of equal signatures links each member to two members chosen by hash, another two in every band; large
+buckets are parted by the next band's signature and linked once more inside the parts. That compares all of a bucket
+up to three members. Larger ones whose members do not end in one component are resolved exactly: of their texts,
+pairs of different components that share one of their rarest k-mers (as many as the threshold asks for) are compared,
+first with two heads for each k-mer, then all that is left. So texts of one bucket that reach the threshold always
+share a class. A candidate is verified by the longest common subsequence L of the two k-mer
 sequences: similarity L / (n + m - L), at least `threshold`. That bound limits how far apart aligned k-mers can
 stand, and only that band is aligned.
 """
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, small, stored
@@ -26,6 +29,10 @@ from .components import components
 
 #: Members of a bucket above which it is parted again.
 LARGE_BUCKET = 8
+#: Members up to which two heads compare every pair of a bucket.
+COMPARED_BUCKET = 3
+#: Texts in a block of those that are all compared.
+BLOCK = 256
 _CACHED_WORDS = 300_000
 
 
@@ -111,6 +118,10 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
         differs = np.flatnonzero(a[::-1][:rest] != b[::-1][:rest])
         tail = int(differs[0]) if len(differs) else rest
     x, y = a[head : n - tail], b[head : m - tail]
+    if len(x) and len(y):
+        common = np.intersect1d(labelled(x.astype(np.uint64)), labelled(y.astype(np.uint64)), assume_unique=True)
+        if head + tail + len(common) < need - 1e-9:
+            return 0.0
     band = int(n + m - 2 * need + 1e-9) + abs(n - m)
     length = head + tail
     if len(x) and len(y):
@@ -145,8 +156,17 @@ def sketches(docs: DataFrame, k: int, bands: int, several: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(sketch, "doc_id long, h long, n long, keys array<long>, grams binary")
 
 
-def candidates(texts: DataFrame, bands: int, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of texts (h, n, keys) with a signature in common, in proportion to the signatures."""
+def fitting(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of rows h, n, r (h, n): lengths further apart than the threshold lets be can't be similar."""
+    pairs = pairs.where(F.least("n", F.col("r.n")) >= (threshold - 1e-9) * F.greatest("n", F.col("r.n")))
+    return pairs.select(F.least("h", F.col("r.h")).alias("a"), F.greatest("h", F.col("r.h")).alias("b"))
+
+
+def candidates(texts: DataFrame, bands: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of texts (h, n, keys) with a signature in common, in proportion to the signatures.
+
+    Also the members (g, h, n) of the buckets g too large for two heads to compare every pair.
+    """
     shifted = F.concat(F.slice("keys", 2, bands), F.slice("keys", 1, 1))
     rows = texts.where("n > 0").select("h", "n", F.explode(F.arrays_zip(F.col("keys").alias("key"), shifted.alias("next"))).alias("_k")).select("h", "n", "_k.key", "_k.next")
 
@@ -154,14 +174,81 @@ def candidates(texts: DataFrame, bands: int, threshold: float) -> DataFrame:
         chosen = F.struct(F.xxhash64("key", "h").alias("o"), "h", "n")
         heads = members.groupBy("key").agg(F.min(chosen).alias("r1"), F.max(chosen).alias("r2"), F.count(F.lit(1)).alias("many")).where("many > 1")
         joined = members.join(stored(heads.select("key", "many", F.array("r1", "r2").alias("rs")), name), "key")
-        pairs = joined.select("h", "n", F.explode("rs").alias("r")).where(F.col("h") != F.col("r.h"))
-        # lengths further apart than the threshold lets be can't be similar
-        pairs = pairs.where(F.least("n", F.col("r.n")) >= (threshold - 1e-9) * F.greatest("n", F.col("r.n")))
-        return pairs.select(F.least("h", F.col("r.h")).alias("a"), F.greatest("h", F.col("r.h")).alias("b")), joined.where(F.col("many") > LARGE_BUCKET)
+        return fitting(joined.select("h", "n", F.explode("rs").alias("r")).where(F.col("h") != F.col("r.h")), threshold), joined
+
+    pairs, joined = starred(rows, "heads")
+    crowded = stored(joined.where(F.col("many") > COMPARED_BUCKET).select("key", "next", "h", "n", "many"), "crowded")
+    parted, _ = starred(crowded.where(F.col("many") > LARGE_BUCKET).select("h", "n", F.xxhash64("key", "next").alias("key")), "parted")
+    return stored(pairs.unionByName(parted).distinct(), "pairs"), crowded.select(F.col("key").alias("g"), "h", "n")
+
+
+def crossing(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members (g, h, n and more) with their component's root, of the groups g that hold more than one component."""
+    at = members.join(roots, F.col("h") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "h").alias("root"))
+    several = at.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("g")
+    return at.join(several, "g", "left_semi")
+
 
-    pairs, large = starred(rows, "heads")
-    parted, _ = starred(large.select("h", "n", F.xxhash64("key", "next").alias("key")), "parted")
-    return stored(pairs.unionByName(parted).distinct(), "pairs")
+def rarest(texts: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+    """(g, h, n, p): the rarest labelled k-mers g of texts (h), so many that two texts that reach the threshold share one.
+
+    Such texts of n and m >= threshold n k-mers have threshold n of them in common at least, so in one order of all
+    k-mers they share one of the first n - ceil(threshold n) + 1. k-mers of one text alone come first and meet nobody.
+    p: the k-mer's place in that order, from 1.
+    """
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
+                e = labelled(np.frombuffer(grams.as_py(), np.uint32).astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.full(len(e), h, np.int64)), pa.array(np.full(len(e), len(e), np.int64))], names=["g", "h", "n"])
+
+    grams = sketched.select("h", "grams").join(texts, "h", "left_semi").groupBy("h").agg(F.first("grams").alias("grams"))
+    rows = stored(grams, "crowded_grams").mapInArrow(elements, "g long, h long, n long")
+    often = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    mine = Window.partitionBy("h")
+    rows = rows.join(often, "g").withColumn("_many", F.count(F.lit(1)).over(mine)).withColumn("_n", F.row_number().over(mine.orderBy("often", "g")))
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1
+    return rows.withColumn("p", F.col("n") - F.col("_many") + F.col("_n")).where(F.col("p") <= first).select("g", "h", "n", "p")
+
+
+def between(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members (g, h, n, p, root) of one group and different roots, large groups in pairs of blocks.
+
+    The first k-mer that two texts share leaves n - p + 1 at most in common, so it has to stand early enough in both.
+    """
+    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("h"), "blocks").cast("int"))
+    left = dealt.select("g", "h", "n", "p", "root", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = dealt.select("g", F.struct("h", "n", "p", "root").alias("r"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("r.n")) - 1e-6
+    early = (F.col("n") - F.col("p") + 1 >= need) & (F.col("r.n") - F.col("r.p") + 1 >= need)
+    met = left.join(right, ["g", "i", "j"]).where(early & (F.col("root") != F.col("r.root")) & ((F.col("i") < F.col("j")) | (F.col("h") < F.col("r.h"))))
+    return fitting(met, threshold).distinct()
+
+
+def links_of(texts: DataFrame, sketched: DataFrame, bands: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, similarity) whose components are those of all similar pairs with a signature in common; (node, root)."""
+    pairs, crowded = candidates(texts, bands, threshold)
+    links = stored(verified(pairs, sketched, threshold), "links")
+    roots = stored(components(links), "roots")
+    left = stored(crossing(crowded, roots).select("h").distinct(), "left")
+    if not left.limit(1).count():
+        return links, roots
+    members = stored(rarest(left, sketched, threshold), "rarest")
+    at = stored(crossing(members, roots), "crossing")
+    chosen = F.struct("root", "h", "n")
+    heads = at.groupBy("g").agg(F.array(F.min(chosen), F.max(chosen)).alias("rs"))
+    met = at.join(heads, "g").select("h", "n", "root", F.explode("rs").alias("r")).where(F.col("root") != F.col("r.root"))
+    tried = stored(fitting(met, threshold).distinct().join(pairs, ["a", "b"], "left_anti"), "tried")
+    links = stored(links.unionByName(verified(tried, sketched, threshold)), "links")
+    roots = stored(components(links), "roots")
+    rest = between(crossing(members, roots), threshold).join(tried, ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left_anti")
+    more = stored(verified(stored(rest, "rest"), sketched, threshold), "more")
+    if not more.limit(1).count():
+        return links, roots
+    links = stored(links.unionByName(more), "links")
+    return links, components(links)
 
 
 def verified(pairs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
@@ -184,8 +271,7 @@ def classified(docs: DataFrame, k: int, threshold: float, bands: int, several: i
     """Sketches of docs (doc_id, h, ...), and for each text h its class: class_id, first (text that stands for the class), links, copies."""
     sketched = stored(sketches(docs, k, bands, several), "sketches")
     texts = stored(sketched.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts")
-    links = stored(verified(candidates(texts, bands, threshold), sketched, threshold), "links")
-    roots = components(links)
+    links, roots = links_of(texts, sketched, bands, threshold)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     linked = texts.select("h", "rep").join(roots, F.col("h") == F.col("node")).select("h", "root", "rep")
     # of texts with one least id the least hash stands for the class; a null id only among nulls

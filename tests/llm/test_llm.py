@@ -235,6 +235,29 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_families_in_one_crowded_bucket(spark):
+    """Families of copies that share a long passage, with links of brute force over all pairs."""
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(130)]
+    given = []
+    for _ in range(14):
+        own = [f"w{rng.randrange(100000)}" for _ in range(90)]
+        for _ in range(8):
+            changed = list(own)
+            for _ in range(rng.randint(1, 3)):
+                changed[rng.randrange(90)] = f"n{rng.randrange(100000)}"
+            given.append((len(given), " ".join(passage + changed)))
+    grams = [(neardup.kmers(t, 5) >> np.uint64(32)).astype(np.uint32) for _, t in given]
+    least = list(range(len(given)))
+    for b in range(len(given)):
+        for a in range(b):
+            if least[a] != least[b] and neardup.aligned(grams[a], grams[b], 0.8):
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(given, "doc_id long, text string"), bands=6, several=1).collect()}
+    assert len(set(least)) >= 14 and found == dict(enumerate(least))
+
+
 def test_rows_without_ids_or_with_one_id_stand_for_their_own_text(spark):
     rng = random.Random(11)
     texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(12)]
