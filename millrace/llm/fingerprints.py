@@ -5,7 +5,7 @@ goes on to the next one or not, as a bit drawn for (j, character) says. Few edit
 sequence, so edit distance becomes Hamming distance. The fingerprint keeps the characters at the `samples` places of
 least hash among the places the walk reaches, four bits each, and how far the walk went; the kept places of a longer
 text restricted to a shorter one's reach are a subset of the shorter one's, so any two fingerprints compare.
-Bands over the sampled symbols find candidates, the likeness of whole fingerprints verifies them.
+Rare symbols at their places find candidates, the likeness of whole fingerprints verifies them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, stored
@@ -27,6 +27,8 @@ PERIOD = 4096
 BY_CHANCE = 0.12
 #: Code points that are walked together; a longer text is a walk of its own.
 WALKED = 12_000_000
+#: Fingerprints in a block of those that are all compared.
+BLOCK = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -213,18 +215,36 @@ def fingerprint_documents(docs: DataFrame, rows_per_cell: int = 400) -> DataFram
     return dealt.mapInArrow(run, FINGERPRINTED)
 
 
-def near_pairs(prints: DataFrame, bands: int = 24, symbols: int = 6, least: float = 0.8) -> DataFrame:
-    """(a, b, near): pairs of distinct fingerprints (id, fingerprint) that share a band and are at least so alike.
+def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, near), a < b: all pairs of distinct fingerprints (id, fingerprint) that are at least so alike.
 
-    Bands are runs of sampled symbols, with the longer text's places; a bucket of equal bands links each member to
-    its least one, however large it is. Equal fingerprints are one row first.
+    A fingerprint is a set of symbols, each with its place in the walk, the same for all reaches. Fingerprints so alike
+    share a fixed part of the longer one's set, so they share one of their rarest symbols (as many as that part asks
+    for), and only those are joined; crowded symbols are compared in pairs of blocks. Equal fingerprints are one row
+    first, that of the least id.
     """
-    distinct = prints.groupBy("fingerprint").agg(F.min("id").alias("id"))
-    body = F.substring_index("fingerprint", ":", -1)
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.substring(body, i * symbols + 1, F.lit(symbols)).alias("s"))))
-    rows = distinct.select("id", "fingerprint", band.alias("k")).where(F.length("k.s") == symbols)
-    heads = stored(rows.groupBy("k").agg(F.min(F.struct("id", "fingerprint")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "h"), "heads")
-    pairs = rows.join(heads, "k").where("id <> h.id").select(F.col("h.id").alias("a"), F.col("id").alias("b"), F.col("h.fingerprint").alias("x"), F.col("fingerprint").alias("y")).distinct()
+    distinct = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("id")), "distinct")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, printed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                reach, symbols = printed.split(":")
+                places = walker().sampled(int(reach, 16)).astype(np.int64)
+                keys = places * 16 + np.array([int(x, 16) for x in symbols], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.int64()), pa.array(keys), pa.array(np.full(len(keys), len(keys), np.int64))], names=["id", "k", "n"])
+
+    rows = distinct.select(F.col("id").cast("long"), "fingerprint").mapInArrow(placed, "id long, k long, n long")
+    often = stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("often")), "often")
+    part = least * (1 - BY_CHANCE) + BY_CHANCE
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "k"))
+    first = rows.join(often.where("often > 1"), "k", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("p", place)
+    first = first.where((F.col("p") <= F.col("n") - F.ceil(F.lit(part) * F.col("n") - 1e-6) + 1) & (F.col("often") > 1))
+    dealt = stored(first.withColumn("blocks", F.ceil(F.col("often") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "dealt")
+    left = dealt.select("k", F.col("id").alias("l"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = dealt.select("k", F.col("id").alias("r"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    met = left.join(right, ["k", "i", "j"]).where((F.col("l") != F.col("r")) & ((F.col("i") < F.col("j")) | (F.col("l") < F.col("r"))))
+    pairs = met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+    pairs = pairs.join(distinct.select(F.col("id").alias("a"), F.col("fingerprint").alias("x")), "a").join(distinct.select(F.col("id").alias("b"), F.col("fingerprint").alias("y")), "b")
 
     @F.pandas_udf("double")
     def near(x, y):

@@ -123,6 +123,23 @@ def test_fingerprints_follow_edits():
     assert fingerprints.likeness(a, a) == 1.0
 
 
+def test_near_pairs_are_those_of_brute_force(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+        for _ in range(6):
+            at, many = rng.randrange(900, 1400), rng.randrange(120)
+            put = "".join(rng.choice("abcdefgh ") for _ in range(many))
+            texts.append(base[:at] + put + base[at:] if rng.random() < 0.5 else base[:at] + base[at + many :])
+    prints = fingerprints.fingerprints(texts)
+    df = spark.createDataFrame(list(enumerate(prints)), "id long, fingerprint string")
+    for least in (0.5, 0.8):
+        expected = {(a, b) for b in range(len(texts)) for a in range(b) if prints[a] != prints[b] and fingerprints.likeness(prints[a], prints[b]) >= least}
+        found = [(r["a"], r["b"]) for r in fingerprints.near_pairs(df, least=least).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected and len(expected) > 10
+
+
 def test_license_scan(spark, empty):
     mit = licenses.TEMPLATES[1][2]
     cut = mit.split()
