@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
         context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -31,7 +33,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables; nothing that is still to be computed may read them."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def own_names(columns: list[str], *wanted: str) -> list[str]:
+    """Each wanted name, with underscores put before it until no column has it (in any case of its letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of one key that a join deals to one task.
+KEY_ROWS = 64
+
+
+def join_hot(rows: DataFrame, key: str, values: DataFrame, spread_by: list[str]) -> DataFrame:
+    """rows joined with values (h and more, a row for each h) on key = h; a key of very many rows is dealt over many tasks.
+
+    Only keys over a share of the rows are dealt so; they are 50,000 at most, so their list is broadcast.
+    """
+    total = rows.count()
+    most = max(KEY_ROWS, total // 50_000)
+    hot = rows.groupBy(F.col(key).alias("_hot")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")).where("_parts > 1")
+    hot = F.broadcast(stored(hot, "hot"))
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread_by), "_parts")).cast("int")).drop("_hot", "_parts")
+    copied = values.join(hot, F.col("h") == F.col("_hot"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts").withColumnRenamed("h", "_h")
+    return dealt.join(copied, (F.col(key) == F.col("_h")) & (F.col("_part") == F.col("_copy"))).drop("_h", "_part", "_copy")
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

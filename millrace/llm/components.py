@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
+
+#: Members of a group in a block of those that are all compared.
+BLOCK = 256
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -26,8 +29,33 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lows.select("u", F.col("m").alias("v")))
         new = stored(small.distinct(), "small")
         (old_n, old_sum), (new_n, new_sum) = (e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for e in (edges, new))
+        discard(edges, large)
         edges = new
         if (old_n, old_sum) == (new_n, new_sum):
             break
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def crossing(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members (g, h and more) with their component's root, of the groups g that hold more than one component."""
+    at = members.join(roots, F.col("h") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "h").alias("root"))
+    several = at.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("g")
+    return at.join(several, "g", "left_semi")
+
+
+def headed(members: DataFrame, *more: str) -> DataFrame:
+    """members (g, h, root and more) each beside two of its group, of the least and the greatest root: r, where its root is another."""
+    chosen = F.struct("root", "h", *more)
+    heads = members.groupBy("g").agg(F.array(F.min(chosen), F.max(chosen)).alias("rs"))
+    return members.join(heads, "g").select("h", "root", *more, F.explode("rs").alias("r")).where(F.col("root") != F.col("r.root"))
+
+
+def between(members: DataFrame, *more: str, also: Column | None = None) -> DataFrame:
+    """All pairs of members (g, h, root and more) of one group and unlike roots, the other one as r; large groups in pairs of blocks."""
+    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("h"), "blocks").cast("int"))
+    left = dealt.select("g", "h", "root", *more, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = dealt.select("g", F.struct("h", "root", *more).alias("r"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    met = left.join(right, ["g", "i", "j"]).where((F.col("root") != F.col("r.root")) & ((F.col("i") < F.col("j")) | (F.col("h") < F.col("r.h"))))
+    return met if also is None else met.where(also)
