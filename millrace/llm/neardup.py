@@ -5,14 +5,17 @@ A text is the sequence of its k-mers (k words each), every k-mer labelled with h
 equal signatures make candidates. Texts with the same k-mers in another order thus rarely meet. Equal texts are one
 representative from the start.
 
+A candidate is verified by words: with L the longest common subsequence of two texts of n and m words, their
+similarity is L / (n + m - L), at least `threshold`. That bound limits how far apart aligned words can stand, and
+only that band is aligned. k-mers only find the candidates, as one changed word spoils k of them.
+
 A bucket of equal signatures links each member to two members chosen by hash, another two in every band; large
 buckets are parted by the next band's signature and linked once more inside the parts. That compares all of a bucket
 up to three members. Larger ones whose members do not end in one component are resolved exactly: of their texts,
-pairs of different components that share one of their rarest k-mers (as many as the threshold asks for) are compared,
-first with two heads for each k-mer, then all that is left. So texts of one bucket that reach the threshold always
-share a class. A candidate is verified by the longest common subsequence L of the two k-mer
-sequences: similarity L / (n + m - L), at least `threshold`. That bound limits how far apart aligned k-mers can
-stand, and only that band is aligned.
+pairs of different components that share one of their rarest k-mers (as many as a k-mer similarity of `threshold`
+asks for) are compared, first with two heads for each k-mer, then all that is left. So texts of one bucket of whose
+k-mers the threshold is kept in order always share a class; pairs below that, but similar by words, are found by
+heads and bands (the share found is measured in the tests).
 """
 
 from __future__ import annotations
@@ -21,19 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, small, stored
-from .components import components
+from .common import documents, join_hot, own_names, small, stored
+from .components import between, components, crossing, headed
 
 #: Members of a bucket above which it is parted again.
 LARGE_BUCKET = 8
 #: Members up to which two heads compare every pair of a bucket.
 COMPARED_BUCKET = 3
-#: Texts in a block of those that are all compared.
-BLOCK = 256
 _CACHED_WORDS = 300_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHash(dict):
@@ -51,16 +53,20 @@ class WordHash(dict):
 _hashes = WordHash()
 
 
-def kmers(text: str | None, k: int) -> np.ndarray:
-    """64-bit hashes of the k-mers in the text's order; of a shorter text the whole is one; of one without words, none."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the lower-cased words in the text's order."""
     words = (text or "").lower().split()
-    if not words:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def kmers(h: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of the k-mers of word hashes; of fewer words the whole is one; of none, none."""
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     k = min(k, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ h[i : len(h) - k + 1 + i]) * _MIX
         out ^= out >> np.uint64(29)
     return out
 
@@ -88,10 +94,10 @@ def signatures(h: np.ndarray, bands: int, several: int) -> np.ndarray:
         mixed = (h ^ np.uint64((0x2545F4914F6CDD1D * (b + 1)) & 0xFFFFFFFFFFFFFFFF)) * np.uint64((0x9E3779B97F4A7C15 + 0xBF58476D1CE4E5B8 * (b + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
         mixed ^= mixed >> np.uint64(32)
         least = np.sort(np.argpartition(mixed, n - 1)[:n]) if n < len(h) else np.arange(n)
-        sign = np.uint64(b + 1)
-        for x in h[least]:
-            sign = (sign ^ x) * np.uint64(0x94D049BB133111EB)
-            sign ^= sign >> np.uint64(31)
+        sign = b + 1
+        for x in h[least].tolist():
+            sign = (sign ^ x) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+            sign ^= sign >> 31
         out[b] = sign
     return out
 
@@ -99,7 +105,7 @@ def signatures(h: np.ndarray, bands: int, several: int) -> np.ndarray:
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     """L / (n + m - L) if that can reach the threshold, else 0. L: longest common subsequence inside the band.
 
-    The similarity asks for L >= t (n + m) / (1 + t), so at most n + m - 2 L k-mers stand unaligned and no aligned
+    The similarity asks for L >= t (n + m) / (1 + t), so at most n + m - 2 L words stand unaligned and no aligned
     pair is further apart. Bits of one integer are the places of b (Hyyro's recurrence); places outside the band of
     the row are masked.
     """
@@ -141,19 +147,19 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
 
 
 def sketches(docs: DataFrame, k: int, bands: int, several: int) -> DataFrame:
-    """doc_id, h (64-bit hash of the text), n (k-mers), keys (signatures), grams (k-mers as 32-bit bytes) of each row."""
+    """doc_id, h (64-bit hash of the text), n (words), keys (signatures), words (their 32-bit hashes as bytes) of each row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, grams = [], [], []
+            sizes, keys, words = [], [], []
             for text in batch.column(2):
-                h = kmers(text.as_py(), k)
+                h = word_hashes(text.as_py()) >> np.uint64(32)
                 sizes.append(len(h))
-                keys.append(signatures(h, bands, several).view(np.int64).tolist() if len(h) else [])
-                grams.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(grams, pa.binary())], names=["doc_id", "h", "n", "keys", "grams"])
+                keys.append(signatures(kmers(h, k), bands, several).view(np.int64).tolist() if len(h) else [])
+                words.append(h.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], names=["doc_id", "h", "n", "keys", "words"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(sketch, "doc_id long, h long, n long, keys array<long>, grams binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(sketch, "doc_id long, h long, n long, keys array<long>, words binary")
 
 
 def fitting(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -182,29 +188,22 @@ def candidates(texts: DataFrame, bands: int, threshold: float) -> tuple[DataFram
     return stored(pairs.unionByName(parted).distinct(), "pairs"), crowded.select(F.col("key").alias("g"), "h", "n")
 
 
-def crossing(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members (g, h, n and more) with their component's root, of the groups g that hold more than one component."""
-    at = members.join(roots, F.col("h") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "h").alias("root"))
-    several = at.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("g")
-    return at.join(several, "g", "left_semi")
-
-
-def rarest(texts: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
-    """(g, h, n, p): the rarest labelled k-mers g of texts (h), so many that two texts that reach the threshold share one.
+def rarest(texts: DataFrame, sketched: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(g, h, n, p): the rarest labelled k-mers g of texts (h), so many that two texts that keep the threshold of them share one.
 
     Such texts of n and m >= threshold n k-mers have threshold n of them in common at least, so in one order of all
     k-mers they share one of the first n - ceil(threshold n) + 1. k-mers of one text alone come first and meet nobody.
-    p: the k-mer's place in that order, from 1.
+    n: the text's k-mers; p: the k-mer's place in that order, from 1.
     """
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
-                e = labelled(np.frombuffer(grams.as_py(), np.uint32).astype(np.uint64)).view(np.int64)
+            for h, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                e = labelled(kmers(np.frombuffer(words.as_py(), np.uint32).astype(np.uint64), k)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.full(len(e), h, np.int64)), pa.array(np.full(len(e), len(e), np.int64))], names=["g", "h", "n"])
 
-    grams = sketched.select("h", "grams").join(texts, "h", "left_semi").groupBy("h").agg(F.first("grams").alias("grams"))
-    rows = stored(grams, "crowded_grams").mapInArrow(elements, "g long, h long, n long")
+    words = sketched.select("h", "words").join(texts, "h", "left_semi").groupBy("h").agg(F.first("words").alias("words"))
+    rows = stored(words, "crowded_words").mapInArrow(elements, "g long, h long, n long")
     often = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     mine = Window.partitionBy("h")
     rows = rows.join(often, "g").withColumn("_many", F.count(F.lit(1)).over(mine)).withColumn("_n", F.row_number().over(mine.orderBy("often", "g")))
@@ -212,47 +211,34 @@ def rarest(texts: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame
     return rows.withColumn("p", F.col("n") - F.col("_many") + F.col("_n")).where(F.col("p") <= first).select("g", "h", "n", "p")
 
 
-def between(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of members (g, h, n, p, root) of one group and different roots, large groups in pairs of blocks.
-
-    The first k-mer that two texts share leaves n - p + 1 at most in common, so it has to stand early enough in both.
-    """
-    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("h"), "blocks").cast("int"))
-    left = dealt.select("g", "h", "n", "p", "root", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    right = dealt.select("g", F.struct("h", "n", "p", "root").alias("r"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+def early(threshold: float) -> Column:
+    """The first k-mer that two texts share leaves n - p + 1 at most in common, so it has to stand early enough in both."""
     need = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("r.n")) - 1e-6
-    early = (F.col("n") - F.col("p") + 1 >= need) & (F.col("r.n") - F.col("r.p") + 1 >= need)
-    met = left.join(right, ["g", "i", "j"]).where(early & (F.col("root") != F.col("r.root")) & ((F.col("i") < F.col("j")) | (F.col("h") < F.col("r.h"))))
-    return fitting(met, threshold).distinct()
+    return (F.col("n") - F.col("p") + 1 >= need) & (F.col("r.n") - F.col("r.p") + 1 >= need)
 
 
-def links_of(texts: DataFrame, sketched: DataFrame, bands: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, similarity) whose components are those of all similar pairs with a signature in common; (node, root)."""
+def links_of(texts: DataFrame, sketched: DataFrame, k: int, bands: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, similarity) and the components (node, root) that they make; see the head of this file."""
     pairs, crowded = candidates(texts, bands, threshold)
     links = stored(verified(pairs, sketched, threshold), "links")
     roots = stored(components(links), "roots")
     left = stored(crossing(crowded, roots).select("h").distinct(), "left")
     if not left.limit(1).count():
         return links, roots
-    members = stored(rarest(left, sketched, threshold), "rarest")
-    at = stored(crossing(members, roots), "crossing")
-    chosen = F.struct("root", "h", "n")
-    heads = at.groupBy("g").agg(F.array(F.min(chosen), F.max(chosen)).alias("rs"))
-    met = at.join(heads, "g").select("h", "n", "root", F.explode("rs").alias("r")).where(F.col("root") != F.col("r.root"))
-    tried = stored(fitting(met, threshold).distinct().join(pairs, ["a", "b"], "left_anti"), "tried")
-    links = stored(links.unionByName(verified(tried, sketched, threshold)), "links")
-    roots = stored(components(links), "roots")
-    rest = between(crossing(members, roots), threshold).join(tried, ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left_anti")
-    more = stored(verified(stored(rest, "rest"), sketched, threshold), "more")
-    if not more.limit(1).count():
-        return links, roots
-    links = stored(links.unionByName(more), "links")
-    return links, components(links)
+    members = stored(rarest(left, sketched, k, threshold), "rarest")
+    tried = pairs
+    for pick in (headed, between):
+        met = pick(stored(crossing(members, roots), "crossing"), "n", "p").where(early(threshold))
+        rest = stored(fitting(met, threshold).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+        more = stored(verified(rest, sketched, threshold), "more")
+        if more.limit(1).count():
+            links, tried = stored(links.unionByName(more), "links"), stored(tried.unionByName(rest), "tried")
+            roots = stored(components(links), "roots")
+    return links, roots
 
 
 def verified(pairs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach the threshold by alignment."""
+    """(a, b, similarity) of the pairs that reach the threshold by alignment of their words."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,9 +247,10 @@ def verified(pairs: DataFrame, sketched: DataFrame, threshold: float) -> DataFra
             yield pa.RecordBatch.from_arrays([a, b, pa.array(likeness, pa.float64())], names=["a", "b", "similarity"])
 
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "needed")
-    grams = sketched.select("h", "grams").join(small(needed, needed.count(), 2_000_000), "h", "left_semi")
-    grams = stored(grams.groupBy("h").agg(F.first("grams").alias("grams")), "grams")
-    known = pairs.join(grams.select(F.col("h").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("h").alias("b"), F.col("grams").alias("y")), "b")
+    words = sketched.select("h", "words").join(small(needed, needed.count(), 2_000_000), "h", "left_semi")
+    words = stored(words.groupBy("h").agg(F.first("words").alias("words")), "words")
+    known = join_hot(pairs, "a", words.withColumnRenamed("words", "x"), ["b"])
+    known = join_hot(known, "b", words.withColumnRenamed("words", "y"), ["a"])
     return known.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, similarity double").where("similarity > 0")
 
 
@@ -271,13 +258,19 @@ def classified(docs: DataFrame, k: int, threshold: float, bands: int, several: i
     """Sketches of docs (doc_id, h, ...), and for each text h its class: class_id, first (text that stands for the class), links, copies."""
     sketched = stored(sketches(docs, k, bands, several), "sketches")
     texts = stored(sketched.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts")
-    links, roots = links_of(texts, sketched, bands, threshold)
+    links, roots = links_of(texts, sketched, k, bands, threshold)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    linked = texts.select("h", "rep").join(roots, F.col("h") == F.col("node")).select("h", "root", "rep")
+    linked = stored(texts.select("h", "rep").join(roots, F.col("h") == F.col("node")).select("h", "root", "rep"), "linked")
     # of texts with one least id the least hash stands for the class; a null id only among nulls
-    least = linked.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("f")).select("root", F.col("f.rep").alias("class_id"), F.col("f.h").alias("first"))
-    linked = linked.join(least, "root").join(counts, F.col("h") == F.col("node")).select("h", "class_id", "first", "links")
-    classes = texts.select("h", "rep", "copies").join(linked, "h", "left").select(F.col("h").alias("_h"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("first", "h").alias("first"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), "copies")
+    least = linked.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("f"))
+    least = least.select(F.col("root").alias("h"), F.col("f.rep").alias("class_id"), F.col("f.h").alias("first"))
+    linked = join_hot(linked.select(F.col("h").alias("text"), "root"), "root", least, ["text"])
+    linked = linked.join(counts, F.col("text") == F.col("node")).select(F.col("text").alias("h"), "class_id", "first", "links")
+    classes = texts.select("h", "rep", "copies").join(linked, "h", "left")
+    classes = classes.select(
+        "h", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("first", "h").alias("first"),
+        F.coalesce("links", F.lit(0).cast("long")).alias("links"), "copies",
+    )
     return sketched, stored(classes, "classes")
 
 
@@ -291,24 +284,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
     ignored.
     """
     sketched, classes = classified(docs, k, threshold, bands, several)
-    return sketched.select("doc_id", "h").join(classes, F.col("h") == F.col("_h")).select("doc_id", "class_id", "links", "copies")
+    rows = sketched.select("doc_id", F.col("h").alias("text"))
+    return join_hot(rows, "text", classes, ["doc_id"]).select("doc_id", "class_id", "links", "copies")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 20, several: int = 3) -> DataFrame:
     """docs without the near duplicates: of each class one row of the least doc_id stays.
 
-    All columns stay as they are. A null doc_id is kept only in a class of null ids. Where the least id (or null) has
-    several texts in the class, the text of least hash stays; classes that share an id keep a row each.
+    All columns stay as they are, whatever their names. A null doc_id is kept only in a class of null ids. Where the
+    least id (or null) has several texts in the class, the text of least hash stays; classes that share an id keep a
+    row each; of equal rows one stays. Null texts are one class, empty ones another. Empty tables give no rows.
     """
     sketched, classes = classified(docs, k, threshold, bands, several)
-    firsts = classes.where(F.col("_h") == F.col("first")).select("_h", F.col("class_id").alias("_id"))
+    firsts = classes.where(F.col("h") == F.col("first")).select(F.col("h").alias("_h"), F.col("class_id").alias("_id"))
     firsts = sketched.select("doc_id", "h").join(firsts, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    firsts = stored(firsts.groupBy("_h", "_id").agg(F.count(F.lit(1)).alias("_many")), "firsts")
-    kept = docs.join(firsts, (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    if not firsts.where("_many > 1").limit(1).count():
+    h, own, many = own_names(docs.columns, "_h", "_id", "_many")
+    firsts = stored(firsts.groupBy("_h", "_id").agg(F.count(F.lit(1)).alias("_many")), "firsts").toDF(h, own, many)
+    kept = docs.join(firsts, (F.xxhash64("text") == F.col(h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
+    if not firsts.where(F.col(many) > 1).limit(1).count():
         return kept.select(*docs.columns)
-    repeated = kept.where("_many > 1").groupBy("_h").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return kept.where("_many = 1").select(*docs.columns).unionByName(repeated)
+    repeated = kept.where(F.col(many) > 1).groupBy(F.col(h).alias("_h")).agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.where(F.col(many) == 1).select(*docs.columns).unionByName(repeated)
 
 
 def op7_order_minhash(spark, sf_dir: str) -> DataFrame:

@@ -264,7 +264,7 @@ def test_families_in_one_crowded_bucket(spark):
             for _ in range(rng.randint(1, 3)):
                 changed[rng.randrange(90)] = f"n{rng.randrange(100000)}"
             given.append((len(given), " ".join(passage + changed)))
-    grams = [(neardup.kmers(t, 5) >> np.uint64(32)).astype(np.uint32) for _, t in given]
+    grams = [(neardup.word_hashes(t) >> np.uint64(32)).astype(np.uint32) for _, t in given]
     least = list(range(len(given)))
     for b in range(len(given)):
         for a in range(b):
