@@ -44,9 +44,12 @@ def crossing(members: DataFrame, roots: DataFrame) -> DataFrame:
     return at.join(several, "g", "left_semi")
 
 
-def headed(members: DataFrame, *more: str) -> DataFrame:
-    """members (g, h, root and more) each beside two of its group, of the least and the greatest root: r, where its root is another."""
-    chosen = F.struct("root", "h", *more)
+def headed(members: DataFrame, *more: str, order: Column | None = None) -> DataFrame:
+    """members (g, h, root and more) each beside two of its group, of the first and the last root: r, where its root is another.
+
+    order: a number for each root, by which they stand; by default the root itself.
+    """
+    chosen = F.struct((F.col("root") if order is None else order).alias("at"), "root", "h", *more)
     heads = members.groupBy("g").agg(F.array(F.min(chosen), F.max(chosen)).alias("rs"))
     return members.join(heads, "g").select("h", "root", *more, F.explode("rs").alias("r")).where(F.col("root") != F.col("r.root"))
 
