@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, own_names
 
 BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
@@ -108,14 +108,18 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, sample: int = 2400) -> Model | None:
     """A model from at most `sample` labelled documents outside the held-out third, or None where there are none."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
-    hashed = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    hashed = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
     per_lang = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     each = max(1, sample // max(1, per_lang.count()))
-    # a hash threshold keeps about twice the wanted rows of each language, then the smallest hashes are ranked
+    # a hash threshold keeps about twice the wanted rows of each language, then the smallest hashes are ranked; equal
+    # rows (ids may repeat or be null) have equal hashes and count as one
     share = F.least(F.lit(1.0), F.lit(2.0 * each + 50) / F.col("_n"))
-    near = hashed.join(F.broadcast(per_lang.orderBy(F.desc("_n"), "lang").limit(sample)), "lang").where((F.col("_h") / 2.0**64 + 0.5) <= share)
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= each)
-    chosen = labelled.join(F.broadcast(ranked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    largest = F.broadcast(per_lang.orderBy(F.desc("_n"), "lang").limit(sample).withColumnRenamed("lang", "_lang"))
+    near = hashed.drop("text").join(largest, F.col("lang") == F.col("_lang")).where((F.col("_h") / 2.0**64 + 0.5) <= share).select("lang", "_h").distinct()
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_r") <= each)
+    ranked = F.broadcast(ranked.select(F.col("lang").alias("_lang"), F.col("_h").alias("_hash")))  # at most `sample` rows
+    chosen = hashed.join(ranked, (F.col("lang") == F.col("_lang")) & (F.col("_h") == F.col("_hash")), "left_semi")
+    chosen = chosen.dropDuplicates(["lang", "_h"]).select("lang", "text")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +127,7 @@ def train(docs: DataFrame, sample: int = 2400) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["lang", "at", "share"])
 
     rows = chosen.mapInArrow(featurize, "lang string, at binary, share binary").collect()  # at most `sample` rows of at most BUCKETS entries
-    found = sorted(((r["lang"], bytes(r["at"]), bytes(r["share"])) for r in rows))[: 2 * sample]
+    found = sorted((r["lang"], bytes(r["at"]), bytes(r["share"])) for r in rows)
     return fit([(k, np.frombuffer(a, np.int32), np.frombuffer(s, np.float32)) for k, a, s in found]) if found else None
 
 
@@ -161,18 +165,12 @@ def text_scores(model: Model, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: Model | None = None, sample: int = 2400) -> DataFrame:
-    """docs with lang_pred, score and rejected in place of columns of these names.
-
-    A text that is null or has no letter is `und` with score 0 and rejected; so is everything where no document has
-    a label to learn from. Ties go to the language first by code point. Empty tables give no rows; repeated rows get
-    equal results. lang, source and doc_id play no part in a prediction.
-    """
+def predicted(docs: DataFrame, name: str, model: Model | None = None, sample: int = 2400) -> DataFrame:
+    """docs with a column `name`: a struct of lang_pred, score and rejected; see identify()."""
     model = model or train(docs, sample)
-    docs = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score", "rejected")))
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    nothing = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     if model is None:
-        return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return docs.select("*", nothing.alias(name))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -183,9 +181,28 @@ def identify(docs: DataFrame, model: Model | None = None, sample: int = 2400) ->
         best = sure.argmax(axis=1)
         return pd.DataFrame({"lang_pred": np.array(shared.value.languages, object)[best], "score": sure[np.arange(len(best)), best]})
 
-    out = docs.withColumn("_p", predict("text")).withColumn("_letters", letters)
-    out = out.withColumn("lang_pred", F.when(F.col("_letters"), F.col("_p.lang_pred")).otherwise(UNKNOWN)).withColumn("score", F.when(F.col("_letters"), F.least(F.col("_p.score"), F.lit(1.0))).otherwise(0.0))
-    return out.withColumn("rejected", ~F.col("_letters") | (F.col("score") < model.least)).drop("_p", "_letters")
+    found, letters = F.col(name), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    score = F.least(found["score"], F.lit(1.0))
+    told = F.struct(found["lang_pred"].alias("lang_pred"), score.alias("score"), (score < model.least).alias("rejected"))
+    return docs.select("*", predict("text").alias(name)).withColumn(name, F.when(letters, told).otherwise(nothing))
+
+
+def identify(docs: DataFrame, model: Model | None = None, sample: int = 2400) -> DataFrame:
+    """docs with lang_pred, score and rejected in place of columns of these names.
+
+    A text that is null or has no letter is `und` with score 0 and rejected; so is everything where no document has
+    a label to learn from. Ties go to the language first by code point. Empty tables give no rows; repeated rows get
+    equal results. lang, source and doc_id play no part in a prediction.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
+    (name,) = own_names(docs.columns, "_told")
+    return predicted(docs, name, model, sample).select(*kept, f"{name}.*")
+
+
+def confident(docs: DataFrame, model: Model | None = None, sample: int = 2400) -> DataFrame:
+    """The rows of docs whose language is named surely enough, with all their columns as they came."""
+    (name,) = own_names(docs.columns, "_told")
+    return predicted(docs, name, model, sample).where(~F.col(name)["rejected"]).select(*docs.columns)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

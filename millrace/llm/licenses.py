@@ -3,7 +3,8 @@
 A template of m shingles (of five words) is looked for in windows of m shingles, a new one every m / 4. A copy of
 which at least `threshold` of the shingles are kept then overlaps some window with Jaccard similarity of at least
 `jaccard_floor`; each band is one MinHash, and `bands_for` gives as many as make a shared band as likely as `chance`
-asks. Windows that share a band with a template are candidates; around them the template's shingles are counted.
+asks. Windows that share a band with a template are candidates; around them the template's shingles are counted in every
+window of m shingles, and the fullest windows that don't overlap are the copies.
 """
 
 from __future__ import annotations
@@ -113,16 +114,42 @@ class Scanner:
                     continue
                 for group in np.split(near, np.flatnonzero(np.diff(near) > 2 * m) + 1):
                     a, b = max(lo, int(group[0]) - m), min(hi, int(group[-1]) + 2 * m)
-                    hit = np.flatnonzero(np.isin(s[a:b], own))
-                    kept = len(np.unique(s[a:b][hit])) / m if len(hit) else 0.0
-                    if kept >= self.threshold - 1e-9:
-                        yield t, i, a + int(hit[0]) - lo, a + int(hit[-1]) - lo, kept
+                    for first, last, kept in copies_of(s[a:b], own, self.threshold):
+                        yield t, i, a + first - lo, a + last - lo, kept
+
+
+def copies_of(s: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(first shingle, last shingle, containment) of each copy of a template, its shingles own (sorted, distinct), in shingles s.
+
+    A window has as many shingles as the template; it is a copy if at least `threshold` of the template's stand in it.
+    The fullest window comes first (of equals the earliest), then the fullest that does not overlap it, and so on.
+    """
+    m = len(own)
+    hit = np.flatnonzero(np.isin(s, own))
+    if len(hit) < threshold * m - 1e-9:
+        return
+    which = np.searchsorted(own, s[hit])
+    order = np.lexsort((hit, which))
+    before = np.full(len(hit), -1)
+    again = which[order][1:] == which[order][:-1]
+    before[order[1:][again]] = hit[order[:-1][again]]
+    # a hit counts in the windows that begin after its shingle's place before and hold it
+    edge = np.zeros(len(s) + 1, np.int64)
+    np.add.at(edge, np.maximum(np.maximum(before + 1, hit - m + 1), 0), 1)
+    np.add.at(edge, hit + 1, -1)
+    full = np.cumsum(edge[:-1])
+    free = full >= threshold * m - 1e-9
+    while free.any():
+        at = int(np.where(free, full, -1).argmax())
+        inside = hit[(hit >= at) & (hit < at + m)]
+        yield int(inside[0]), int(inside[-1]), float(full[at] / m)
+        free[max(0, at - m + 1) : at + m] = False
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, license, kind, start, stop, containment: a row for each template found in a text.
 
-    start and stop are code points of the whole text; copies less than two template lengths apart are one row. Words
+    start and stop are code points of the whole text; each copy is a row, and copies don't overlap. Words
     are runs of letters and digits, lower-cased. A null or empty text has no hits; repeated rows have theirs each; an
     empty table gives no rows; other columns are ignored. Templates are few (a parameter) and go with the task.
     """

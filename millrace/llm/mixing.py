@@ -3,7 +3,8 @@
 The budget (a share of all words) is split over the sources by weight, no target above a multiple of its source's
 words; what a capped source leaves is reshared by weight. The budget is then a number of equal blocks. Blocks go to
 sources, and within a source to its shards, by highest quotients votes / (2 k - 1). In a shard the documents stand
-in a seeded order, once for each allowed pass; the shard's quota of blocks is taken from the start of that sequence.
+in a seeded order, once for each allowed pass, and are cut into blocks. As that order is drawn by the seed, its first
+blocks are a seeded choice of the shard's blocks; the quota says how many of them are taken.
 All counts come from prefix sums in closed form, so no block is ever a row.
 """
 
@@ -14,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import own_names, small, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,8 +63,9 @@ def seats(votes: DataFrame, by: list[str], vote: str, house: str, parties: str)
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, passes: int) -> tuple[DataFrame, int]:
     """(source, source_size, docs, target, n_sources) for each source, and the number of sources.
 
-    Sources by code point, null last, take the weights in turn. Capping repeats as aggregates whose results are two
-    numbers; each round caps a further source or ends.
+    Sources by code point, null last, take the weights in turn. With sources in order of cap / weight, those that reach
+    their cap are the first so many; prefix sums give for each number of them the rate that is left for the others,
+    and the least number that holds is the answer, so one aggregate finds it for any number of sources.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     # Spark compares strings by their UTF-8 bytes, which is the order of code points
@@ -71,16 +73,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, pas
     cycle = F.array(*(F.lit(float(w)) for w in weights))
     totals = totals.withColumn("weight", F.element_at(cycle, ((rank - 1) % len(weights) + 1).cast("int")))
     totals = stored(totals.withColumn("cap", (F.col("source_size") * passes).cast("double")), "sources")
-    n, words = totals.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    n, words, weight = totals.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0)), F.sum("weight")).first()
     rate, budget = 0.0, share * words
-    while words:
-        full = F.col("cap") <= F.col("weight") * rate
-        kept, open_weight = totals.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
-        new = (budget - kept) / open_weight if open_weight else rate
-        if new <= rate:
-            break
-        rate = new
-    return totals.withColumn("target", F.least("cap", F.col("weight") * F.lit(rate))).withColumn("n_sources", F.lit(n)), n
+    if words:
+        order = Window.orderBy("_full", "_name")
+        full = totals.select("weight", "cap", (F.col("cap") / F.col("weight")).alias("_full"), F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("_name"))
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        full = full.withColumn("_caps", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("_weights", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+        full = full.withColumn("_rate", (F.lit(budget) - F.col("_caps")) / (F.lit(float(weight)) - F.col("_weights")))
+        rate, most = full.agg(F.min(F.when(F.col("_rate") < F.col("_full"), F.col("_rate"))), F.max("_full")).first()
+        rate = most if rate is None else rate
+    return totals.withColumn("target", F.least("cap", F.col("weight") * F.lit(float(rate)))).withColumn("n_sources", F.lit(n)), n
 
 
 def placed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, passes: int = 2, block: int = 16, seed: int = 7, rows_per_shard: int = 50_000) -> DataFrame:
@@ -134,18 +137,23 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; a document that is taken in part counts by its half.
 
-    All columns stay. Rows of equal doc_id, source and text share what the mix takes of them as evenly as can be.
+    All columns stay, whatever their names. Rows of equal doc_id, source and text share what the mix takes of them as
+    evenly as can be. Null texts and texts without words have size 0 and are taken in no pass; a null source is a
+    source of its own; an empty table gives an empty result.
     """
-    copies = placed(docs, **settings).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_h")
-    copies = stored(copies.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_h"))
-    kept = docs.join(copies, same).withColumn("_each", F.floor(F.col("_copies") / F.col("_rows")).cast("int")).withColumn("_over", F.col("_copies") % F.col("_rows"))
+    own = own_names(docs.columns, "_id", "_source", "_h", "_copies", "_rows", "_each", "_over", "_nth")
+    ident, source, h, copies, rows, each, over, nth = own
+    taken = placed(docs.select("doc_id", "source", "text"), **settings).groupBy("doc_id", "source", "_h")
+    taken = taken.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
+    taken = stored(taken, "copies").toDF(*own[:5])
+    same = F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(h))
+    kept = docs.join(taken, same).withColumn(each, F.floor(F.col(copies) / F.col(rows)).cast("int")).withColumn(over, F.col(copies) % F.col(rows))
     # equal rows stand together in their shard's sequence, so few groups are cut by a quota and have rows to number
-    if copies.where("_copies % _rows > 0").limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("_id", "_source", "_h").orderBy("_over"))
-        uneven = kept.where("_over > 0").withColumn("_n", nth).withColumn("_each", F.col("_each") + (F.col("_n") <= F.col("_over")).cast("int")).drop("_n")
-        kept = kept.where("_over = 0").unionByName(uneven)
-    return kept.where("_each > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*docs.columns)
+    if taken.where(F.col(copies) % F.col(rows) > 0).limit(1).count():
+        place = F.row_number().over(Window.partitionBy(ident, source, h).orderBy(over))
+        uneven = kept.where(F.col(over) > 0).withColumn(nth, place).withColumn(each, F.col(each) + (F.col(nth) <= F.col(over)).cast("int")).drop(nth)
+        kept = kept.where(F.col(over) == 0).unionByName(uneven)
+    return kept.where(F.col(each) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(each)))).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -3,10 +3,10 @@
 Tasks tokenize whole texts and cut what is over the capacity; only piece lengths and checksums go on. The histogram
 of lengths (at most `capacity` rows, whatever the input) goes to the driver. There a configuration is a multiset of
 lengths that fits one sequence; the program asks for the fewest configurations that cover the histogram. It is
-solved by multiplicative weights: a length's price falls as it gets covered, a knapsack dynamic program finds the
-dearest configuration, which is then used as far as the demand left allows. The fractional solution is rounded down
-and what is left goes by best fit, in counts of equal sequences. Pieces then learn their sequence from their rank
-among the pieces of their length.
+solved by multiplicative weights: a length's price falls as it gets covered, and a knapsack dynamic program finds the
+dearest configuration, which is used a whole number of times. The few pieces left when rounds bring little go by best
+fit into the room left, in counts of equal sequences. Pieces then learn their sequence from their rank among the
+pieces of their length.
 """
 
 from __future__ import annotations
@@ -104,67 +104,99 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> Data
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES)
 
 
-def dearest(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: the multiset of lengths of at most capacity in all with the highest price. price[l]: of length l, 0: not on offer."""
-    lengths = np.flatnonzero(price)
-    offer = price[lengths]
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := fits[c]:
-            total = offer[:k] + best[c - lengths[:k]]
-            i = int(total.argmax())
-            if total[i] > best[c]:
-                best[c], choice[c] = total[i], lengths[i]
+def dearest(lengths: np.ndarray, offered: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, int]:
+    """Bounded knapsack: the multiset of lengths, each at most as often as offered, of at most capacity in all with the highest price."""
+    items = []  # (length, copies): powers of two that add up to what is offered
+    for k, (length, n) in enumerate(zip(lengths.tolist(), offered.tolist())):
+        part, n = 1, min(n, capacity // length)
+        while n > 0:
+            items.append((k, min(part, n)))
+            n -= part
+            part *= 2
+    best = np.zeros(capacity + 1)
+    taken = np.zeros((len(items), capacity + 1), bool)
+    for i, (k, copies) in enumerate(items):
+        size = int(lengths[k]) * copies
+        more = best[: capacity + 1 - size] + price[k] * copies
+        np.greater(more, best[size:], out=taken[i, size:])
+        best[size:] = np.maximum(best[size:], more)
     out: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if choice[c]:
-            out[int(choice[c])] += 1
-            c -= int(choice[c])
-        else:
-            c -= 1
+    c = int(best.argmax())
+    for i in range(len(items) - 1, -1, -1):
+        if taken[i, c]:
+            k, copies = items[i]
+            out[int(lengths[k])] += copies
+            c -= int(lengths[k]) * copies
     return dict(out)
 
 
-def fill_up(config: dict[int, int], left: np.ndarray, capacity: int) -> None:
-    """The knapsack knows no counts: after cutting a length's copies to what is left, fill the gap, longest first."""
-    room = capacity - sum(k * a for k, a in config.items())
-    while room > 0:
-        fits = np.flatnonzero(left[: room + 1] >= 1)
-        fits = [k for k in fits[::-1][:64] if k and config.get(int(k), 0) < int(left[k])]
-        if not fits:
-            return
-        k = int(fits[0])
-        config[k] = config.get(k, 0) + 1
-        room -= k
-
-
-def fractional(counts: np.ndarray, capacity: int, rounds: int, rate: float = 2.0) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often to use each, covering no length beyond its count."""
-    demand, left = np.maximum(counts, 1).astype(float), counts.astype(float)
-    lengths = np.arange(capacity + 1)
-    used: list[tuple[dict[int, int], float]] = []
+#: Lengths that one round prices: the longest left and as many drawn at random.
+PRICED = 40
+
+
+def program(counts: np.ndarray, capacity: int, rounds: int, rest: float = 0.04, rate: float = 0.2, seed: int = 3) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole uses of configurations that cover no length beyond its count, and the counts left, about `rest` of the pieces.
+
+    Multiplicative weights: a length's weight falls with the share of its demand that is covered, and its price is
+    its length times its weight. A round takes the dearest configuration half as often as the least of its lengths
+    allows (rounded up), so every use is whole; one that leaves room gives way to another, priced by length alone
+    over other lengths, which fills the sequence where any choice does.
+    """
+    draw = np.random.default_rng(seed)
+    demand, left = np.maximum(counts, 1).astype(float), counts.copy()
+    used: list[tuple[dict[int, int], int]] = []
+    enough = rest * counts.sum()
     for _ in range(rounds):
-        open_ = (left >= 1) & (lengths > 0)
-        if not open_.any():
+        open_ = np.flatnonzero(left)
+        if left.sum() <= enough or not len(open_):
             break
-        covered = 1 - left / demand
-        weight = np.exp(-rate * (covered - covered[open_].min()))
-        config = dearest(np.where(open_, lengths / capacity * weight, 0.0), capacity)
-        config = {k: int(min(a, left[k])) for k, a in config.items()}
-        fill_up(config, left, capacity)
-        step = max(1.0, 0.5 * min(left[k] / a for k, a in config.items()))
+        for turn in range(4):
+            chosen = open_
+            if len(open_) > 2 * PRICED:
+                chosen = np.concatenate([open_[-PRICED:], draw.choice(open_[:-PRICED], PRICED, False)])
+            weight = np.exp(-rate * (1 - left[chosen] / demand[chosen])) if turn == 0 else 1.0
+            config = dearest(chosen, left[chosen], chosen * weight, capacity)
+            if sum(k * a for k, a in config.items()) == capacity:
+                break
+        many = max(1, min(int(left[k]) // a for k, a in config.items()) // 2)
         for k, a in config.items():
-            left[k] -= a * step
-        used.append((config, step))
-    return used
+            left[k] -= a * many
+        used.append((config, many))
+    return used, left
+
+
+#: Pieces that the program is solved for at once; it knows shares of lengths, so larger histograms are scaled down to them.
+SOLVED = 5000
 
 
-def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Longest first into the fullest sequence with room; equal sequences are one entry with a count."""
+def scaled_program(counts: np.ndarray, capacity: int, rounds: int, kept: float = 0.3, seed: int = 4) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """program() of ever smaller scales: each one's configurations are used as often as its scale and the counts allow.
+
+    A scale that isn't the last one keeps a share of its pieces back, so that pieces of all lengths reach the next.
+    """
+    draw = np.random.default_rng(seed)
+    used, left = [], counts.copy()
+    while True:
+        scale = max(1, int(left.sum()) // SOLVED)
+        scaled = left if scale == 1 else np.floor(left / scale + draw.random(len(left))).astype(np.int64)
+        part, _ = program(scaled, capacity, rounds, *(() if scale == 1 else (kept,)))
+        placed = 0
+        for config, many in part:
+            many = min(many * scale, *(int(left[k]) // a for k, a in config.items()))
+            if many:
+                used.append((config, many))
+                for k, a in config.items():
+                    left[k] -= a * many
+                    placed += a * many
+        if scale == 1 or not placed:
+            return used, left
+
+
+def best_fit(left: np.ndarray, capacity: int, begun: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Longest first into the fullest sequence with room, of those begun and new ones; equal sequences are one entry with a count."""
     room: dict[int, list[list]] = defaultdict(list)
+    for config, many in begun:
+        room[capacity - sum(k * a for k, a in config.items())].append([config, many])
     for length in range(capacity, 0, -1):
         n = int(left[length])
         while n:
@@ -185,26 +217,23 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
     return [(config, many) for groups in room.values() for config, many in groups]
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 60) -> list[tuple[dict[int, int], int]]:
-    """(configuration, number of sequences) that hold every piece of the histogram once."""
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
+    """(configuration, number of sequences) that hold every piece of the histogram once.
+
+    The program places all but a few pieces; best fit puts those into the room left and into new sequences. Where
+    best fit alone needs fewer sequences, its plan is taken.
+    """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     whole = [({capacity: 1}, int(counts[capacity]))] if counts[capacity] else []
     counts[capacity] = 0
-    out = []
-    for config, step in fractional(counts, capacity, rounds):
-        many = int(step)
-        for length, a in config.items():
-            many = min(many, int(counts[length]) // a)
-        if many and sum(k * a for k, a in config.items()) >= 0.995 * capacity:
-            out.append((config, many))
-            for length, a in config.items():
-                counts[length] -= a * many
-    return whole + out + best_fit(counts, capacity)
-
-
-def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, rounds: int = 60) -> DataFrame:
+    used, left = scaled_program(counts, capacity, rounds)
+    planned, plain = best_fit(left, capacity, used), best_fit(counts, capacity)
+    return whole + min(planned, plain, key=lambda p: sum(many for _, many in p))
+
+
+def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, rounds: int = 4000) -> DataFrame:
     """Every piece of docs with its sequence and its place there.
 
     A null or empty text is one piece of the end id alone; longer ones than capacity are cut, the last piece may be

@@ -6,6 +6,9 @@ An Aho-Corasick automaton lists the pieces that end at each place, longest first
 later candidate must be strictly better, and the longest piece comes first. A character that no piece of one
 character covers may be an unknown piece, scored `unknown_penalty` under the least score; neighbouring unknown
 pieces are one token. Words are runs of non-space characters behind the mark of a word's start; no piece spans two.
+
+The default vocabulary is the piece file of a public BPE tokenizer, read as a unigram model with its scores. Its own
+encoder merges pairs by rank and gives other counts; the counts here are those of a unigram tokenizer over that file.
 """
 
 from __future__ import annotations
@@ -49,28 +52,35 @@ class PieceCounts(dict):
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in vocabulary)
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
         self.mark = mark
 
     def count(self, text: str) -> int:
-        found: list[list[tuple[int, float]]] = [[] for _ in range(len(text))]
-        for end, piece in self.automaton.iter(text):
-            found[end].append(piece)
-        best, pieces, last_unknown = [0.0], [0], [False]
-        for end, matches in enumerate(found):
-            top, n, unknown = -float("inf"), 0, False
-            single = False
-            for length, score in sorted(matches, reverse=True):
-                at = end + 1 - length
+        width = self.longest + 1
+        # of place i, at i modulo width: best score, pieces, whether the last one is unknown
+        best, pieces, last_unknown = [0.0] * width, [0] * width, [False] * width
+        matches: list[tuple[int, float]] = []
+        found = self.automaton.iter(text)
+        coming = next(found, None)
+        for end in range(len(text)):
+            matches.clear()
+            while coming and coming[0] == end:
+                matches.append(coming[1])
+                coming = next(found, None)
+            matches.sort(reverse=True)
+            top, n, unknown, single = -float("inf"), 0, False, False
+            for length, score in matches:
+                at = (end + 1 - length) % width
                 single = length == 1
                 if best[at] + score > top:
                     top, n, unknown = best[at] + score, pieces[at] + 1, False
-            if not single and best[end] + self.unknown > top:
-                top, n, unknown = best[end] + self.unknown, pieces[end] + (not last_unknown[end]), True
-            best.append(top)
-            pieces.append(n)
-            last_unknown.append(unknown)
-        return pieces[-1]
+            at = end % width
+            if not single and best[at] + self.unknown > top:
+                top, n, unknown = best[at] + self.unknown, pieces[at] + (not last_unknown[at]), True
+            at = (end + 1) % width
+            best[at], pieces[at], last_unknown[at] = top, n, unknown
+        return pieces[len(text) % width]
 
     def __missing__(self, run: bytes) -> int:
         n = self.count(self.mark + run.decode("utf-8", "surrogatepass"))
@@ -92,7 +102,8 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens of each row's whole text.
 
     A null or empty text has none of either. Repeated rows are rows of their own; an empty table gives no rows; other
-    columns are ignored. A text of one very long word is searched in one pass over it.
+    columns are ignored. A text of one very long word is searched in one pass over it
+    that keeps as many places as the longest piece has characters.
     """
     path = path or vocabulary_path()
 

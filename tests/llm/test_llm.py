@@ -340,19 +340,17 @@ def test_image_copies(spark):
 
 def test_image_copies_meet_in_crowded_buckets(spark):
     """Descriptors of two families share all quarters but one bit each; each image agrees with its own family alone."""
-    corners, rng = [], random.Random(3)
+    pictures, rng = [], random.Random(3)
     places = [(20 + 9 * i, 15 + 7 * (i * i % 11)) for i in range(6)]
     for family in (0, 1):
         for image in range(10):
+            corners = []
             for i, (x, y) in enumerate(places):
                 if family:
                     x, y = rng.randrange(10, 200), rng.randrange(10, 200)
-                corners.append((100 * family + image, media.spot(float(x), float(y), 1.0, 0.1), (i << 40) | family, family << 50))
-    met = media.matches(spark.createDataFrame(corners, "h long, spot long, hi long, lo long"), 20).collect()
-    pairs = defaultdict(set)
-    for r in met:
-        assert r["a"] < r["b"]
-        pairs[r["a"], r["b"]].add((r["p"], r["q"]))
-    agreed = {k for k, v in pairs.items() if media.consensus(*np.array(sorted(v)).T, 4)}
-    linked = {x for k in agreed for x in k}
-    assert linked == set(range(10)) and all((0, i) in agreed for i in range(1, 10))
+                spot = media.spots(np.array([x]), np.array([y]), 0, np.array([0.1]))[0]
+                corners.append([int(spot), (i << 40) | family, family << 50])
+            pictures.append((100 * family + image, bytearray(np.array(corners, np.int64).tobytes())))
+    links, _ = media.links_of(spark.createDataFrame(pictures, "h long, corners binary"), 4, 20, 5)
+    linked = [(r["a"], r["b"]) for r in links.collect()]
+    assert {x for k in linked for x in k} == set(range(10)) and len(linked) >= 9
