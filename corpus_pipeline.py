@@ -32,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, all columns as they came.
 
-    Null texts and texts without words are never taken; a null source is a source; equal rows share what is taken of
-    them evenly; an empty table gives no rows.
+    Null texts and texts without words have size 0 and are taken in every pass that reaches their place; a null source
+    is a source; equal rows share what is taken of them evenly; an empty table gives no rows.
     """
     return mixed_documents(docs)
 

@@ -138,8 +138,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; a document that is taken in part counts by its half.
 
     All columns stay, whatever their names. Rows of equal doc_id, source and text share what the mix takes of them as
-    evenly as can be. Null texts and texts without words have size 0 and are taken in no pass; a null source is a
-    source of its own; an empty table gives an empty result.
+    evenly as can be. Null texts and texts without words have size 0 and are taken in every pass that reaches their
+    place; a null source is a source of its own; an empty table gives an empty result.
     """
     own = own_names(docs.columns, "_id", "_source", "_h", "_copies", "_rows", "_each", "_over", "_nth")
     ident, source, h, copies, rows, each, over, nth = own
