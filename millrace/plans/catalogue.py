@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import relational, retrieval, scoring
+from . import records, relational, retrieval, scoring
 
-QUERIES = relational.QUERIES | retrieval.QUERIES | scoring.QUERIES
-ORACLES = relational.ORACLES | retrieval.ORACLES | scoring.ORACLES
+_PARTS = (relational, retrieval, scoring, records)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: text for part in _PARTS for name, text in part.ORACLES.items()}

@@ -8,6 +8,8 @@ import pytest
 from millrace.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
+#: Plans that may find nothing in the smallest tables.
+EMPTY = {"ngram_jaccard_pairs"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -36,4 +38,4 @@ def test_plan(spark, duck, name):
     at = [found.columns.index(c) for c in names]
     ours = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr)
     theirs = sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
-    assert ours == theirs
+    assert ours == theirs and (ours or name in EMPTY)
