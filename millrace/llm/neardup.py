@@ -9,7 +9,7 @@ A candidate is verified by words: with L the longest common subsequence of two t
 similarity is L / (n + m - L), at least `threshold`. That bound limits how far apart aligned words can stand, and
 only that band is aligned. k-mers only find the candidates, as one changed word spoils k of them.
 
-A bucket of equal signatures links each member to two members chosen by hash, another two in every band; large
+A bucket of equal signatures links each member to its first and last member by hash, in every band; large
 buckets are parted by the next band's signature and linked once more inside the parts. That compares all of a bucket
 up to three members. Larger ones whose members do not end in one component are resolved exactly: of their texts,
 pairs of different components that share one of their rarest k-mers (as many as a k-mer similarity of `threshold`
@@ -177,7 +177,8 @@ def candidates(texts: DataFrame, bands: int, threshold: float) -> tuple[DataFram
     rows = texts.where("n > 0").select("h", "n", F.explode(F.arrays_zip(F.col("keys").alias("key"), shifted.alias("next"))).alias("_k")).select("h", "n", "_k.key", "_k.next")
 
     def starred(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        chosen = F.struct(F.xxhash64("key", "h").alias("o"), "h", "n")
+        # h is a hash, so its order is as good as any; as it is the same in all buckets, copies meet the same few heads
+        chosen = F.struct("h", "n")
         heads = members.groupBy("key").agg(F.min(chosen).alias("r1"), F.max(chosen).alias("r2"), F.count(F.lit(1)).alias("many")).where("many > 1")
         joined = members.join(stored(heads.select("key", "many", F.array("r1", "r2").alias("rs")), name), "key")
         return fitting(joined.select("h", "n", F.explode("rs").alias("r")).where(F.col("h") != F.col("r.h")), threshold), joined
@@ -217,6 +218,21 @@ def early(threshold: float) -> Column:
     return (F.col("n") - F.col("p") + 1 >= need) & (F.col("r.n") - F.col("r.p") + 1 >= need)
 
 
+def promising(met: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of all rows h, n, p, r (h, n, p) in which two texts share one of their first k-mers.
+
+    k-mers stand in one order in all texts. Two texts have in common those counted here and, after the last of them,
+    no more than either has left; pairs whose sum can't reach the threshold are no candidates.
+    """
+    low = F.col("h") < F.col("r.h")
+    mine, other = F.struct("h", "n", "p"), F.struct("r.h", "r.n", "r.p")
+    rows = met.select(F.when(low, mine).otherwise(other).alias("x"), F.when(low, other).otherwise(mine).alias("y"))
+    rows = rows.groupBy(F.col("x.h").alias("a"), F.col("y.h").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+    rows = rows.agg(F.count(F.lit(1)).alias("c"), F.max("x.p").alias("p"), F.max("y.p").alias("q"))
+    most = F.col("c") + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
+    return rows.where(most >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-6).select("a", "b")
+
+
 def links_of(texts: DataFrame, sketched: DataFrame, k: int, bands: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, similarity) and the components (node, root) that they make; see the head of this file."""
     pairs, crowded = candidates(texts, bands, threshold)
@@ -228,8 +244,9 @@ def links_of(texts: DataFrame, sketched: DataFrame, k: int, bands: int, threshol
     members = stored(rarest(left, sketched, k, threshold), "rarest")
     tried = pairs
     for pick in (headed, between):
-        met = pick(stored(crossing(members, roots), "crossing"), "n", "p").where(early(threshold))
-        rest = stored(fitting(met, threshold).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+        met = pick(stored(crossing(members, roots), "crossing"), "n", "p")
+        chosen = fitting(met.where(early(threshold)), threshold).distinct() if pick is headed else promising(met, threshold)
+        rest = stored(chosen.join(tried, ["a", "b"], "left_anti"), "rest")
         more = stored(verified(rest, sketched, threshold), "more")
         if more.limit(1).count():
             links, tried = stored(links.unionByName(more), "links"), stored(tried.unionByName(rest), "tried")
