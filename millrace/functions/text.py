@@ -50,3 +50,32 @@ def title(c: Column, limit: int = 60) -> Column:
 
 def first_number(c: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")).cast("int")
+
+
+def cjk_grams(c: Column, n: int) -> Column:
+    """The n-grams of each run of CJK ideographs, in order."""
+    runs = F.regexp_extract_all(c, F.lit("([\u4e00-\u9fff]+)"), F.lit(1))
+    return F.flatten(F.transform(runs, lambda r: F.when(F.length(r) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: r.substr(i, F.lit(n))))))
+
+
+def tokens(c: Column) -> Column:
+    """Latin words, then the 2- and 3-grams of CJK runs (all of one length before the next); a bag, with repeats."""
+    return F.concat(latin_tokens(c), cjk_grams(c, 2), cjk_grams(c, 3))
+
+
+def simple_terms(c: Column) -> Column:
+    """The set of Latin words (without underscores) and CJK 2-grams."""
+    return F.array_distinct(F.concat(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)), cjk_grams(c, 2)))
+
+
+def plain_name(c: Column) -> Column:
+    """Lower case, Latin letters, digits and CJK ideographs only."""
+    return F.regexp_replace(F.lower(c), "[^0-9a-z\u4e00-\u9fff]", "")
+
+
+def aliased_key(c: Column, aliases: dict[str, str]) -> Column:
+    """lookup_key, by its alias where it has one; aliases are few and stand in the plan."""
+    key = lookup_key(c)
+    if not aliases:
+        return key
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))[key], key)

@@ -12,14 +12,18 @@ def set_pairs(sets: DataFrame, block: list[str], threshold: float, item: str = "
     Elements are ordered rarest first inside the block; two sets that reach the threshold share one of their first
     size - ceil(threshold size) + 1 elements, so only those are joined, and only sets of fitting sizes.
     """
-    rows = sets.select(item, *block, elements, F.explode(elements).alias("_e"))
+    # an empty set is alike to empty sets alone: it gets one element that no other set has
+    empty = F.array(F.lit("\0empty"))
+    known = F.coalesce(F.col(elements).cast("array<string>"), F.array().cast("array<string>"))
+    sets = sets.withColumn(elements, F.when(F.size(known) == 0, empty).otherwise(known))
+    rows = sets.select(item, *block, F.explode(elements).alias("_e"))
     often = rows.groupBy(*block, "_e").agg(F.count(F.lit(1)).alias("_f"))
     ordered = rows.select(item, *block, "_e").join(often, [*block, "_e"])
     place = F.row_number().over(Window.partitionBy(item).orderBy("_f", "_e"))
     size = F.count(F.lit(1)).over(Window.partitionBy(item))
-    first = ordered.withColumn("_p", place).withColumn("_n", size).where(F.col("_p") <= F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n")) + 1)
+    first = ordered.withColumn("_p", place).withColumn("_n", size).where(F.col("_p") <= F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n") - 1e-9) + 1)
     left, right = (first.select(*block, "_e", F.col(item).alias(f"{s}_id"), F.col("_n").alias(f"_n_{s}")) for s in ("left", "right"))
-    met = left.join(right, [*block, "_e"]).where((F.col("left_id") < F.col("right_id")) & (F.least("_n_left", "_n_right") >= threshold * F.greatest("_n_left", "_n_right")))
+    met = left.join(right, [*block, "_e"]).where((F.col("left_id") < F.col("right_id")) & (F.least("_n_left", "_n_right") >= threshold * F.greatest("_n_left", "_n_right") - 1e-9))
     met = met.select("left_id", "right_id").distinct()
     a, b = (sets.select(F.col(item).alias(f"{s}_id"), F.col(elements).alias(f"_{s}")) for s in ("left", "right"))
     shared, either = F.size(F.array_intersect("_left", "_right")), F.size(F.array_union("_left", "_right"))
@@ -41,3 +45,57 @@ def clusters(links: DataFrame, left: str, right: str) -> DataFrame:
         labels = new
         if not changed:
             return labels
+
+
+def first_accepted(records: DataFrame, links: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """(ordinal, duplicate_of) of each record (ordinal, name): the first earlier accepted record that it repeats, or null.
+
+    Records are taken in order; one that has the name of an accepted one, or a link (left_id < right_id, by ordinals)
+    to one, is rejected, all others are accepted. baseline: (ordinal, name) of records accepted beforehand, whose
+    ordinals come before all others. Each round decides every record whose earlier neighbours are all decided, by
+    joins and minima; records of one name meet only as the least ordinals of their name. Rounds: as many as the
+    longest chain of open neighbours.
+    """
+    before = records.limit(0).select("ordinal", "name") if baseline is None else baseline.select("ordinal", "name")
+    state = before.withColumn("accepted", F.lit(True)).unionByName(records.select("ordinal", "name").withColumn("accepted", F.lit(None).cast("boolean")))
+    state = state.withColumn("duplicate_of", F.lit(None).cast("long")).checkpoint()
+    edges = links.select(F.col("right_id").alias("later"), F.col("left_id").alias("ordinal")).distinct().checkpoint()
+    while True:
+        names = state.where("name is not null").groupBy(F.col("name").alias("_name")).agg(F.min(F.when(F.col("accepted"), F.col("ordinal"))).alias("name_accepted"), F.min(F.when(F.col("accepted").isNull(), F.col("ordinal"))).alias("name_open"))
+        near = edges.join(state.select("ordinal", "accepted"), "ordinal").groupBy("later").agg(
+            F.min(F.when(F.col("accepted"), F.col("ordinal"))).alias("link_accepted"), F.max(F.col("accepted").isNull()).alias("link_open")
+        )
+        at = state.join(names, F.col("name") == F.col("_name"), "left").join(near, F.col("ordinal") == F.col("later"), "left")
+        earlier = F.least("name_accepted", "link_accepted")
+        # once a name's least accepted record comes before its open ones, none of these can be accepted
+        name_waits = (F.col("name_open") < F.col("ordinal")) & (F.col("name_accepted").isNull() | (F.col("name_open") < F.col("name_accepted")))
+        waits = F.coalesce(name_waits, F.lit(False)) | F.coalesce("link_open", F.lit(False))
+        undecided = F.col("accepted").isNull()
+        repeats = undecided & (earlier < F.col("ordinal"))
+        new = at.select(
+            "ordinal", "name",
+            F.when(F.coalesce(repeats & ~waits, F.lit(False)), False).when(undecided & ~waits, True).otherwise(F.col("accepted")).alias("accepted"),
+            F.when(F.coalesce(repeats & ~waits, F.lit(False)), earlier).otherwise(F.col("duplicate_of")).alias("duplicate_of"),
+        ).checkpoint()
+        state = new
+        if not state.where("accepted is null").limit(1).count():
+            return state.join(records.select("ordinal"), "ordinal", "left_semi").select("ordinal", "duplicate_of")
+
+
+def reviewed(pairs: DataFrame) -> DataFrame:
+    """pairs (left_id, right_id, same_name, name, ingredients, methods) with a decision: REJECT_RIGHT or HUMAN_REVIEW; others go.
+
+    name, ingredients and methods are similarities from 0 to 1. Pairs alike in neither name nor ingredients go first.
+    """
+    name, parts, methods = F.col("name"), F.col("ingredients"), F.col("methods")
+    decision = (
+        F.when(F.col("same_name"), "REJECT_RIGHT")
+        .when((parts >= 0.8) & (methods >= 0.99) & (name >= 0.55), "REJECT_RIGHT")
+        .when(((parts >= 0.65) & (methods >= 0.99)) | (name >= 0.78), "HUMAN_REVIEW")
+    )
+    return pairs.where((name >= 0.45) | (parts >= 0.5)).withColumn("decision", decision).where("decision is not null")
+
+
+def rejected_ids(reviews: DataFrame) -> DataFrame:
+    """(id): the right side of every pair that is rejected."""
+    return reviews.where("decision = 'REJECT_RIGHT'").select(F.col("right_id").alias("id")).distinct()

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constraints, ranking, text
 from ..functions import records as rules
-from ..session import table
+from ..operators import similarity
+from ..session import checkpoints, table
 
 _MACROS = """
     case when o_orderstatus <> 'P' then o_totalprice / 150 end as calories, cast(o_custkey % 300 as double) as protein, cast(o_orderkey % 270 as double) as fat,
@@ -92,6 +94,67 @@ def ambiguous_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ambiguous_aliases(table(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), F.col("p_name").alias("alias")))
 
 
+def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(left_id, right_id) of documents whose word sets are alike by 0.9 and whose character 3-grams by 0.8."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.col("doc_id").alias("id"), F.array_distinct(text.tokens(F.col("text"))).alias("elements"))
+    pairs = similarity.set_pairs(words, [], 0.9).select("left_id", "right_id")
+    grams = docs.select("doc_id", text.char_ngrams(text.compact(F.col("text"))).alias("g"))
+    met = pairs.join(grams.select(F.col("doc_id").alias("left_id"), F.col("g").alias("a")), "left_id").join(grams.select(F.col("doc_id").alias("right_id"), F.col("g").alias("b")), "right_id")
+    return met.where(text.jaccard(F.col("a"), F.col("b")) >= 0.8).select("left_id", "right_id")
+
+
+def first_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the first earlier accepted one that it repeats, by its first 80 characters or by its whole text."""
+    checkpoints(spark)
+    named = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), text.compact(F.substring("text", 1, 80)).alias("name"))
+    return similarity.first_accepted(named, document_links(spark, sf_dir))
+
+
+def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as failed queries: what was parsed and which lane had the item are flags of the order."""
+    o = table(spark, sf_dir, "orders")
+    flags = [F.expr(e) for e in ("o_orderkey % 11 <> 0", "o_custkey % 2 = 0", "o_custkey % 3 = 0", "o_custkey % 5 <> 0", "o_custkey % 7 = 0", "o_custkey % 13 = 0")]
+    lane = F.when(F.col("o_orderstatus") == "F", "hybrid").when(F.col("o_orderstatus") == "O", "real_embedding").otherwise("rule")
+    rank = F.when(F.col("o_orderkey") % 17 == 0, 3)
+    hybrid = ranking.hybrid_failure(*flags, F.expr("o_orderkey % 3 = 0"), F.expr("o_orderkey % 4 = 0"))
+    bench = ranking.benchmark_failure(*flags, F.expr("o_orderkey % 3 = 0"), rank, lane, F.expr("o_custkey % 4 = 0"))
+    return o.select(hybrid.alias("hybrid"), bench.alias("benchmark")).groupBy("hybrid", "benchmark").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Words that are looked for.
+VOCABULARY = ["the", "and", "that", "there", "dans", "und", "los"]
+
+
+def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each word of a vocabulary is named in the benchmark's texts."""
+    named = table(spark, sf_dir, "benchmark").select(F.explode(constraints.mentions(F.col("text"), VOCABULARY)).alias("value"))
+    return named.groupBy(F.lower("value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def message_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each conversation in the order in which they first come, and the last number said."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.latin_tokens(F.substring("text", 1, 200)).alias("words"), constraints.number(F.col("text"), "([0-9]{1,3})").alias("number"))
+    words = constraints.ordered_values(turns, "conv_id", "turn", ["words"])
+    return words.join(constraints.last_values(turns, "conv_id", "turn", ["number"]), "conv_id").select("conv_id", F.concat_ws(" ", F.slice("words", 1, 8)).alias("words"), "number")
+
+
+_FLAG = {"known": "o_orderkey % 11 <> 0", "parts": "o_custkey % 2 = 0", "sc": "o_custkey % 3 = 0", "pref": "o_custkey % 5 <> 0", "mins": "o_custkey % 7 = 0", "dish": "o_custkey % 13 = 0"}
+_FAILURES = "with f as (select *, " + ", ".join(f"{e} as {k}" for k, e in _FLAG.items()) + """, o_orderkey % 3 = 0 as hit3, o_orderkey % 4 = 0 as hit4, o_orderkey % 17 <> 0 as unranked from orders)
+  select hybrid, benchmark, count(*) as n from (select
+    case when not known then 'MISSING_RECIPE_DATA' when not (parts or sc or mins or dish) then 'QUERY_PARSING_FAILURE'
+      when hit3 or hit4 then 'RERANKING_FAILURE' when (sc or pref) and not parts then 'VECTOR_RETRIEVAL_FAILURE' else 'RULE_RANKING_FAILURE' end as hybrid,
+    case when not known then 'MISSING_RECIPE_COVERAGE' when not (parts or sc or mins or dish) then case when pref then 'UNDER_SPECIFIED_USER_QUERY' else 'QUERY_PARSING_FAILURE' end
+      when hit3 and unranked then 'RERANKING_FAILURE' when o_orderstatus = 'F' and not hit3 then 'CANDIDATE_FUSION_FAILURE' when o_orderstatus = 'O' then 'EMBEDDING_SEMANTIC_FAILURE'
+      when parts and o_custkey % 4 <> 0 then 'MISSING_ALIAS' else 'RERANKING_FAILURE' end as benchmark from f) t group by 1, 2"""
+_MENTIONS = """select value, count(*) as n from (select unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as value from benchmark) t
+  where value in ('the', 'and', 'that', 'there', 'dans', 'und', 'los') group by value"""
+_MERGE = """with w as (select conv_id, turn, regexp_extract_all(lower(substring(text, 1, 200)), '([a-z0-9_]+)', 1) as ws from conversations),
+  u as (select conv_id, turn, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+  f as (select conv_id, word, min(turn * 100000 + i) as first_at from u group by 1, 2),
+  l as (select conv_id, string_agg(word, ' ' order by first_at) filter (where nth <= 8) as words from (select *, row_number() over (partition by conv_id order by first_at) as nth from f) t group by conv_id),
+  n as (select conv_id, arg_max(number, turn) filter (where number is not null) as number from (select conv_id, turn, try_cast(nullif(regexp_extract(lower(text), '([0-9]{1,3})', 1), '') as integer) as number from conversations) t group by conv_id)
+  select conv_id, coalesce(words, '') as words, number from n left join l using (conv_id)"""
 _BASE = f"""
   with line as (
     select l_orderkey, l_partkey, {_LINE.replace("as string", "as varchar")},
@@ -154,8 +217,12 @@ _CONCERNS = f"""{_BASE}
 QUERIES = {
     "record_issues": record_issues, "record_quality": record_quality, "record_audit": record_audit, "record_concerns": record_concerns,
     "dangling_refs": dangling_refs, "name_ids": name_ids, "ambiguous_aliases": ambiguous_aliases,
+    "first_accepted": first_accepted, "failure_classes": failure_classes, "mention_counts": mention_counts, "message_merge": message_merge,
 }
 ORACLES = {
+    "failure_classes": _FAILURES,
+    "mention_counts": _MENTIONS,
+    "message_merge": _MERGE,
     "record_issues": f"{_BASE} select * from issue",
     "record_quality": _QUALITY,
     "record_audit": _AUDIT,

@@ -71,10 +71,10 @@ SQL: dict[str, str] = {
         from (select user_id, event_type, cast(floor((extract(day from ts) - 1) / 7) as bigint) as phase from {events}) t group by phase""",
     # filters, semi and anti joins
     "hard_filter_ranges": "select p_partkey, p_brand, p_size from {part} where p_size between 5 and 20 and p_retailprice <= 1200 and p_brand <> 'Brand#11'",
-    "not_exists_filter": "select c_custkey from {customer} c where not exists (select 1 from {orders} o where o.o_custkey = c.c_custkey and o.o_orderstatus in ('F', 'P'))",
+    "not_exists_filter": "select c_custkey from {customer} c where not exists (select 1 from {orders} o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'F' and o.o_totalprice > 250000)",
     "not_exists_joined": """
         select s_suppkey from {supplier} s where not exists (
-          select 1 from {lineitem} l join {part} p on l.l_partkey = p.p_partkey where l.l_suppkey = s.s_suppkey and p.p_size = 7)""",
+          select 1 from {lineitem} l join {part} p on l.l_partkey = p.p_partkey where l.l_suppkey = s.s_suppkey and p.p_size = 7 and l.l_quantity > 48)""",
     "exists_all_required": """
         select o_orderkey from {orders} o
         where exists (select 1 from {lineitem} l where l.l_orderkey = o.o_orderkey and l.l_returnflag in ('A', 'R'))
@@ -87,8 +87,8 @@ SQL: dict[str, str] = {
         from {customer} c join {nation} cn on c.c_nationkey = cn.n_nationkey join {supplier} s on s.s_suppkey = c.c_custkey join {nation} sn on s.s_nationkey = sn.n_nationkey
         group by cn.n_name, sn.n_name""",
     "orphan_anti_join": """
-        select 'order' as parent, count(*) as orphans from {lineitem} l left join {orders} o on l.l_orderkey = o.o_orderkey where o.o_orderkey is null
-        union all select 'part', count(*) from {lineitem} l left join {part} p on l.l_partkey = p.p_partkey where p.p_partkey is null""",
+        select 'order' as parent, count(*) as orphans from {lineitem} l left join (select * from {orders} where o_orderstatus <> 'P') o on l.l_orderkey = o.o_orderkey where o.o_orderkey is null
+        union all select 'part', count(*) from {lineitem} l left join (select * from {part} where p_size < 40) p on l.l_partkey = p.p_partkey where p.p_partkey is null""",
     "self_join_inequality": """
         select a.c_custkey as kept, b.c_custkey as other from {customer} a join {customer} b
         on a.c_nationkey = b.c_nationkey and a.c_mktsegment = b.c_mktsegment and a.c_custkey < b.c_custkey and abs(a.c_acctbal - b.c_acctbal) < 20""",
@@ -96,15 +96,15 @@ SQL: dict[str, str] = {
         select a.p_partkey as left_id, b.p_partkey as right_id from {part} a join {part} b
         on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and a.p_partkey < b.p_partkey""",
     "name_resolution": """
-        select item_id, doc_id, case when doc_id is null then 'missing' else 'found' end as state
-        from {benchmark} b left join (select min(doc_id) as doc_id, text from {documents} group by text) d on b.text = d.text""",
+        select page_id, n_name, case when n_name is null then 'missing' else 'found' end as state
+        from (select page_id, cast(page_id % 37 as int) as wanted from {pages}) p left join {nation} on n_nationkey = wanted""",
     "paired_deltas": """
-        select custkey, round(late - early, 2) as delta, case when late - early > 0 then 'improved' when late - early < 0 then 'worse' else 'equal' end as decision
-        from (select o_custkey as custkey, avg(case when o_orderdate < timestamp '1995-01-01' then o_totalprice end) as early, avg(case when o_orderdate >= timestamp '1995-01-01' then o_totalprice end) as late
+        select custkey, round(late - early, 6) as delta, case when late - early > 0 then 'improved' when late - early < 0 then 'worse' else 'equal' end as decision
+        from (select o_custkey as custkey, avg(case when o_orderdate < timestamp '1998-01-01' then o_totalprice end) as early, avg(case when o_orderdate >= timestamp '1998-01-01' then o_totalprice end) as late
               from {orders} group by o_custkey) t where early is not null and late is not null""",
     "symmetric_difference": """
-        select 'customer_only' as side, count(*) as n from (select c_custkey from {customer} except select o_custkey from {orders}) t
-        union all select 'order_only', count(*) from (select o_custkey from {orders} except select c_custkey from {customer}) t""",
+        select 'customer_only' as side, count(*) as n from (select c_custkey from {customer} except select o_custkey from {orders} where o_totalprice > 300000) t
+        union all select 'order_only', count(*) from (select o_custkey from {orders} except select c_custkey from {customer} where c_acctbal > 0) t""",
     "alias_resolution": """
         select p_partkey, key, canonical from (
           select p_partkey, regexp_replace(lower(trim(p_name)), '[ _-]+', '') as key, cut.canonical

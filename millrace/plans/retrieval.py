@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import similarity, vectors
-from ..session import table
+from ..session import checkpoints, table
 from ..streaming import states
 
 
@@ -22,16 +22,31 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _slice(emb: DataFrame, lane: int) -> DataFrame:
-    return emb.withColumn("embedding", F.slice("embedding", 21 * lane + 1, 21))
+    """A lane's values: 21 each, the last lane's 22."""
+    return emb.withColumn("embedding", F.slice("embedding", 21 * lane + 1, 22 if lane == 2 else 21))
+
+
+#: Candidates of each lane, and the lanes' weights.
+LANE_K = 30
+LANE_WEIGHTS = (0.45, 0.25, 0.30)
 
 
 def multi_lane_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Three lanes of 21 values, weighted .45, .25, .30; the items must stand in each lane's best 200."""
+    """The best 5 of the union of three lanes' best 30, every one scored in all lanes; rank 31 where a lane lacks the item."""
     emb = table(spark, d, "embeddings")
-    lanes = [vectors.nearest(_slice(emb, i), _queries(_slice(emb, i)), 200).select("query_id", "item_id", F.col("score").alias(f"s{i}")) for i in range(3)]
-    joined = lanes[0].join(lanes[1], ["query_id", "item_id"]).join(lanes[2], ["query_id", "item_id"])
-    scored = joined.select("query_id", "item_id", F.round(0.45 * F.col("s0") + 0.25 * F.col("s1") + 0.30 * F.col("s2"), 5).alias("score"))
-    return vectors.top_k(scored, "query_id", "item_id", "score", 5)
+    lanes = range(len(LANE_WEIGHTS))
+    queries = [_queries(_slice(emb, i)) for i in lanes]
+    found = [vectors.nearest(_slice(emb, i), queries[i], LANE_K).select("query_id", "item_id", F.col("rank").alias(f"rank{i}")) for i in lanes]
+    union = found[0]
+    for lane in found[1:]:
+        union = union.join(lane, ["query_id", "item_id"], "full_outer")
+    for i in lanes:
+        items = _slice(emb, i).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias(f"v{i}"))
+        union = union.join(items, "item_id").join(queries[i].withColumnRenamed("query_vector", f"q{i}"), "query_id")
+        union = union.withColumn(f"s{i}", F.round(vectors.cosine(F.col(f"v{i}"), F.col(f"q{i}")), 6)).drop(f"v{i}", f"q{i}")
+    score = F.round(sum((F.col(f"s{i}") * w for i, w in enumerate(LANE_WEIGHTS)), F.lit(0.0)), 5)
+    ranks = (F.coalesce(F.col(f"rank{i}"), F.lit(LANE_K + 1)).alias(f"rank{i}") for i in lanes)
+    return vectors.top_k(union.select("query_id", "item_id", *ranks, score.alias("score")), "query_id", "item_id", "score", 5)
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -102,11 +117,7 @@ def near_duplicate_review(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_clusters(spark: SparkSession, d: str) -> DataFrame:
-    from pathlib import Path
-    import tempfile
-
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(str(Path(tempfile.mkdtemp(prefix="millrace-"))))
+    checkpoints(spark)
     links = exact_duplicates(spark, d).select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
     return similarity.clusters(links, "a", "b")
 
@@ -181,15 +192,16 @@ _COS = """nearest as (select query_id, item_id, score, row_number() over (partit
   from base e join base q on q.vec_id % 100 = 0 and e.vec_id <> q.vec_id) t)"""
 _BASE = "with base as (select vec_id, label, embedding::double[] as v from embeddings), " + _COS
 _LANE = "lane{i} as (select query_id, item_id, score, row_number() over (partition by query_id order by score desc, item_id) as rank from (select q.vec_id as query_id, e.vec_id as item_id, round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) as score from (select vec_id, embedding[{a}:{b}]::double[] as v from embeddings) e join (select vec_id, embedding[{a}:{b}]::double[] as v from embeddings) q on q.vec_id % 100 = 0 and e.vec_id <> q.vec_id) t)"
-_LANES = "with " + ", ".join(_LANE.format(i=i, a=21 * i + 1, b=21 * i + 21) for i in range(3))
+_LANES = "with " + ", ".join(_LANE.format(i=i, a=21 * i + 1, b=21 * i + 21 + (i == 2)) for i in range(3))
 _PER = "per as (select n.query_id, b.label, max(score) as best, count(case when e.label = b.label then 1 end) as found, min(case when e.label = b.label then rank end) as first from nearest n join base b on b.vec_id = n.query_id join base e on e.vec_id = n.item_id where rank <= 5 group by 1, 2)"
 _TOK = "select {k}, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) as term from {t}"
 
 ORACLES = {
     "cosine_topk": _BASE + " select * from nearest where rank <= 5",
-    "multi_lane_topk": _LANES + """ select * from (select query_id, item_id, score, row_number() over (partition by query_id order by score desc, item_id) as rank from (
-        select query_id, item_id, round(0.45 * lane0.score + 0.25 * lane1.score + 0.30 * lane2.score, 5) as score from lane0 join lane1 using (query_id, item_id) join lane2 using (query_id, item_id)
-        where lane0.rank <= 200 and lane1.rank <= 200 and lane2.rank <= 200) t) u where rank <= 5""",
+    "multi_lane_topk": _LANES + """, met as (select query_id, item_id from lane0 where rank <= 30 union select query_id, item_id from lane1 where rank <= 30 union select query_id, item_id from lane2 where rank <= 30),
+        placed as (select query_id, item_id, least(lane0.rank, 31) as rank0, least(lane1.rank, 31) as rank1, least(lane2.rank, 31) as rank2, round(0.45 * lane0.score + 0.25 * lane1.score + 0.30 * lane2.score, 5) as score
+          from met join lane0 using (query_id, item_id) join lane1 using (query_id, item_id) join lane2 using (query_id, item_id))
+        select * from (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from placed) u where rank <= 5""",
     "rrf_fusion": _LANES + """ select * from (select query_id, item_id, score, row_number() over (partition by query_id order by score desc, item_id) as rank from (
         select query_id, item_id, round(sum(part), 8) as score from (select query_id, item_id, 10.0e0 / (60 + rank) as part from lane0 where rank <= 30 union all select query_id, item_id, 1.0e0 / (60 + rank) from lane1 where rank <= 30) p group by 1, 2) t) u where rank <= 5""",
     "recall_mrr": _BASE + ", " + _PER + """ select label, count(*) as queries_n, round(avg(case when expected = 0 then 0.0e0 else found::double / expected end), 4) as recall, round(avg(coalesce(1.0e0 / first, 0)), 4) as mrr

@@ -111,9 +111,11 @@ def answer_scoring(spark: SparkSession, d: str) -> DataFrame:
     turns = turns.withColumn("asked", F.lag("terms").over(order)).withColumn("asker", F.lag("role").over(order)).where("role = 'assistant' and asker = 'user'")
     overlap = F.size(F.array_intersect("terms", "asked")) * F.lit(1.0) / F.greatest(F.size("terms"), F.lit(1))
     critical = F.contains("text", F.lit("http"))
-    score = F.round(0.6 * F.least(F.lit(1.0), overlap / 0.35) + 0.4 * F.when(F.length("text") <= 400, 1.0).otherwise(0.5), 4)
-    rows = turns.select("conv_id", critical.alias("critical"), F.when(critical, 0.0).otherwise(score).alias("score"))
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("answers"), F.round(F.avg("score"), 4).alias("score"), F.bool_and((F.col("score") >= 0.5) & ~F.col("critical")).alias("passed"))
+    # whole ten-thousandths, so that the mean is of whole numbers and is rounded once, half up
+    score = F.floor((0.6 * F.least(F.lit(1.0), overlap / 0.35) + 0.4 * F.when(F.length("text") <= 400, 1.0).otherwise(0.5)) * 10000 + 0.5).cast("long")
+    rows = turns.select("conv_id", critical.alias("critical"), F.when(critical, 0).otherwise(score).alias("points"))
+    mean = F.floor((F.sum("points") * 2 + F.count(F.lit(1))) / (F.count(F.lit(1)) * 2)) / 10000.0
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("answers"), mean.alias("score"), F.bool_and((F.col("points") >= 5000) & ~F.col("critical")).alias("passed"))
 
 
 #: Words that tag a conversation.
@@ -169,9 +171,9 @@ ORACLES = {name: relational._NAME.sub(r"\1", text) for name, text in SQL.items()
           select query_id, item_id, coverage, type_bonus, size_part, round(8 * coverage + case when coverage = 1 then 3.0e0 else 0.0e0 end + type_bonus + size_part + 0.0001e0 * price, 6) as score from c) s) t where rank <= 5""",
     "answer_scoring": """with t as (select conv_id, turn, role, text, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) as terms from conversations),
         p as (select *, lag(terms) over w as asked, lag(role) over w as asker from t window w as (partition by conv_id order by turn)),
-        s as (select conv_id, contains(text, 'http') as critical, case when contains(text, 'http') then 0.0e0 else round(0.6e0 * least(1.0e0, len(list_intersect(terms, asked)) * 1.0e0 / greatest(len(terms), 1) / 0.35e0) + 0.4e0 * case when length(text) <= 400 then 1.0e0 else 0.5e0 end, 4) end as score
+        s as (select conv_id, contains(text, 'http') as critical, case when contains(text, 'http') then 0 else cast(floor((0.6e0 * least(1.0e0, len(list_intersect(terms, asked)) * 1.0e0 / greatest(len(terms), 1) / 0.35e0) + 0.4e0 * case when length(text) <= 400 then 1.0e0 else 0.5e0 end) * 10000 + 0.5e0) as bigint) end as points
               from p where role = 'assistant' and asker = 'user')
-        select conv_id, count(*) as answers, round(avg(score), 4) as score, bool_and(score >= 0.5 and not critical) as passed from s group by conv_id""",
+        select conv_id, count(*) as answers, floor((sum(points) * 2 + count(*)) / (count(*) * 2.0e0)) / 10000.0e0 as score, bool_and(points >= 5000 and not critical) as passed from s group by conv_id""",
     "constraint_extraction": "select conv_id, concat_ws(',', " + ", ".join(f"case when bool_or(contains(lower(text), '{k}')) then '{k}' end" for k in KEYWORDS) + """) as tags,
         arg_max(number, turn) filter (where number is not null) as last_number from (select *, try_cast(nullif(regexp_extract(text, '([0-9]{1,3})', 1), '') as integer) as number from conversations) t group by conv_id""",
     "ngram_jaccard_pairs": r"""with c as (select item_id as id, regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g') as c from benchmark),

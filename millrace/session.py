@@ -29,6 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """See that checkpoint() has a folder: spark.checkpoint.dir, or one of our own in a local session that names none."""
+    import tempfile
+
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="millrace-")
+    context.setCheckpointDir(named)
+
+
 _shipped: set[str] = set()
 
 
