@@ -64,14 +64,20 @@ KEY_ROWS = 64
 def join_hot(rows: DataFrame, key: str, values: DataFrame, spread_by: list[str]) -> DataFrame:
     """rows joined with values (h and more, a row for each h) on key = h; a key of very many rows is dealt over many tasks.
 
-    Only keys over a share of the rows are dealt so; they are 50,000 at most, so their list is broadcast.
+    Only keys over a share of the rows are dealt so; they are 50,000 at most, so their list may go to the driver.
     """
     total = rows.count()
     most = max(KEY_ROWS, total // 50_000)
-    hot = rows.groupBy(F.col(key).alias("_hot")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")).where("_parts > 1")
-    hot = F.broadcast(stored(hot, "hot"))
-    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread_by), "_parts")).cast("int")).drop("_hot", "_parts")
-    copied = values.join(hot, F.col("h") == F.col("_hot"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts").withColumnRenamed("h", "_h")
+    parts = F.ceil(F.count(F.lit(1)) / most).cast("int")
+    found = rows.groupBy(F.col(key).alias("_hot")).agg(parts.alias("_parts")).where("_parts > 1").collect() if total > most else []
+    if not found:
+        return rows.join(values.withColumnRenamed("h", "_h"), F.col(key) == F.col("_h")).drop("_h")
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, "_hot long, _parts int"))
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left")
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread_by), "_parts"))
+    dealt = dealt.withColumn("_part", part.cast("int")).drop("_hot", "_parts")
+    copied = values.join(hot, F.col("h") == F.col("_hot"), "left")
+    copied = copied.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts").withColumnRenamed("h", "_h")
     return dealt.join(copied, (F.col(key) == F.col("_h")) & (F.col("_part") == F.col("_copy"))).drop("_h", "_part", "_copy")
 
 
