@@ -20,11 +20,12 @@ heads and bands (the share found is measured in the tests).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, join_hot, own_names, small, stored
@@ -34,6 +35,8 @@ from .components import between, components, crossing, headed
 LARGE_BUCKET = 8
 #: Members up to which two heads compare every pair of a bucket.
 COMPARED_BUCKET = 3
+#: Bits of a k-mer's slot at most: 2 ** 22 slots are 4 MB in each task.
+SLOT_BITS = 22
 _CACHED_WORDS = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,23 +196,55 @@ def rarest(texts: DataFrame, sketched: DataFrame, k: int, threshold: float) -> D
     """(g, h, n, p): the rarest labelled k-mers g of texts (h), so many that two texts that keep the threshold of them share one.
 
     Such texts of n and m >= threshold n k-mers have threshold n of them in common at least, so in one order of all
-    k-mers they share one of the first n - ceil(threshold n) + 1. k-mers of one text alone come first and meet nobody.
+    k-mers they share one of the first n - ceil(threshold n) + 1. That holds for any order; this one is by how often
+    the k-mer's slot is met (its slot: the first bits of its hash; counts over all of these texts, in at most
+    2 ** SLOT_BITS slots), then by the k-mer. A k-mer alone in its slot meets nobody and is left out.
     n: the text's k-mers; p: the k-mer's place in that order, from 1.
     """
+    words = sketched.select("h", "words").join(texts, "h", "left_semi").groupBy("h").agg(F.first("words").alias("words"))
+    words = stored(words, "crowded_words")
+    total = words.agg(F.sum(F.length("words") / 4)).first()[0] or 1
+    bits = min(SLOT_BITS, max(16, math.ceil(math.log2(4 * total))))
+
+    def of_text(words: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        e = labelled(kmers(np.frombuffer(words.as_py(), np.uint32).astype(np.uint64), k))
+        return e, ((e * _MIX) >> np.uint64(64 - bits)).astype(np.int32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [np.zeros(0, np.int32)], 0
+
+        def rows() -> pa.RecordBatch:
+            slot, n = np.unique(np.concatenate(kept), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
 
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                e = labelled(kmers(np.frombuffer(words.as_py(), np.uint32).astype(np.uint64), k)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.full(len(e), h, np.int64)), pa.array(np.full(len(e), len(e), np.int64))], names=["g", "h", "n"])
+            for text in batch.column(0):
+                kept.append(of_text(text)[1])
+                size += len(kept[-1])
+                if size >= 1 << 20:
+                    yield rows()
+                    kept, size = [], 0
+        if kept:
+            yield rows()
+
+    met = words.select("words").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    met = met.select("slot", F.least(F.lit(255), 1 + F.floor(8 * F.log2("n"))).cast("short").alias("level")).toArrow()  # at most a row a slot
+    levels = np.zeros(1 << bits, np.uint8)
+    levels[met["slot"].to_numpy()] = met["level"].to_numpy()
+    shared = words.sparkSession.sparkContext.broadcast(levels)
 
-    words = sketched.select("h", "words").join(texts, "h", "left_semi").groupBy("h").agg(F.first("words").alias("words"))
-    rows = stored(words, "crowded_words").mapInArrow(elements, "g long, h long, n long")
-    often = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
-    mine = Window.partitionBy("h")
-    rows = rows.join(often, "g").withColumn("_many", F.count(F.lit(1)).over(mine)).withColumn("_n", F.row_number().over(mine.orderBy("often", "g")))
-    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1
-    return rows.withColumn("p", F.col("n") - F.col("_many") + F.col("_n")).where(F.col("p") <= first).select("g", "h", "n", "p")
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(np.zeros(0, np.int64),) * 4]
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                e, slot = of_text(text)
+                n, level = len(e), shared.value[slot]
+                order = np.lexsort((e, level))[: n - math.ceil(threshold * n - 1e-6) + 1]
+                place = np.flatnonzero(level[order])
+                found.append((e[order[place]].view(np.int64), np.full(len(place), h), np.full(len(place), n), place + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=["g", "h", "n", "p"])
+
+    return words.mapInArrow(elements, "g long, h long, n long, p long")
 
 
 def early(threshold: float) -> Column:
