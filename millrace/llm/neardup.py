@@ -253,21 +253,6 @@ def early(threshold: float) -> Column:
     return (F.col("n") - F.col("p") + 1 >= need) & (F.col("r.n") - F.col("r.p") + 1 >= need)
 
 
-def promising(met: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b, of all rows h, n, p, r (h, n, p) in which two texts share one of their first k-mers.
-
-    k-mers stand in one order in all texts. Two texts have in common those counted here and, after the last of them,
-    no more than either has left; pairs whose sum can't reach the threshold are no candidates.
-    """
-    low = F.col("h") < F.col("r.h")
-    mine, other = F.struct("h", "n", "p"), F.struct("r.h", "r.n", "r.p")
-    rows = met.select(F.when(low, mine).otherwise(other).alias("x"), F.when(low, other).otherwise(mine).alias("y"))
-    rows = rows.groupBy(F.col("x.h").alias("a"), F.col("y.h").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-    rows = rows.agg(F.count(F.lit(1)).alias("c"), F.max("x.p").alias("p"), F.max("y.p").alias("q"))
-    most = F.col("c") + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
-    return rows.where(most >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-6).select("a", "b")
-
-
 def links_of(texts: DataFrame, sketched: DataFrame, k: int, bands: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, similarity) and the components (node, root) that they make; see the head of this file."""
     pairs, crowded = candidates(texts, bands, threshold)
@@ -279,8 +264,8 @@ def links_of(texts: DataFrame, sketched: DataFrame, k: int, bands: int, threshol
     members = stored(rarest(left, sketched, k, threshold), "rarest")
     tried = pairs
     for pick in (headed, between):
-        met = pick(stored(crossing(members, roots), "crossing"), "n", "p")
-        chosen = fitting(met.where(early(threshold)), threshold).distinct() if pick is headed else promising(met, threshold)
+        met = pick(stored(crossing(members, roots), "crossing"), "n", "p").where(early(threshold))
+        chosen = fitting(met, threshold).distinct()
         rest = stored(chosen.join(tried, ["a", "b"], "left_anti"), "rest")
         more = stored(verified(rest, sketched, threshold), "more")
         if more.limit(1).count():
