@@ -83,3 +83,20 @@ def benchmark_failure(known: Column, parts: Column, scenarios: Column, preferenc
         .when(parts & ~names_overlap, "MISSING_ALIAS")
         .otherwise("RERANKING_FAILURE")
     )
+
+
+#: Words of a dish's name that do not tell dishes apart.
+_STYLES = "(?:低油|少油|家常|简单|快手|经典|健康)"
+
+
+def diversity(answer: Column, names: Column, requested: Column) -> Column:
+    """Share of different names among those the answer mentions (or else the first three); 1 if none were requested, 0.4 below two.
+
+    A null answer mentions nothing; null or empty names don't count.
+    """
+    named = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), F.trim), lambda x: F.length(x) > 0)
+    mentioned = F.filter(named, lambda x: F.contains(F.lower(F.coalesce(answer, F.lit(""))), F.lower(x)))
+    chosen = F.when(F.size(mentioned) > 0, mentioned).otherwise(F.slice(named, 1, 3))
+    plain = F.array_distinct(F.transform(chosen, lambda x: F.lower(F.trim(F.regexp_replace(x, _STYLES, "")))))
+    share = F.when(F.size(chosen) < 2, F.lit(0.4)).otherwise(F.round(F.size(plain) / F.size(chosen), 4))
+    return F.when(F.coalesce(requested, F.lit(False)), share).otherwise(F.lit(1.0))

@@ -1,9 +1,13 @@
-"""Text expressions: keys, tokens, n-grams, clauses. All are native columns."""
+"""Text expressions: keys, tokens, n-grams, clauses. All are native columns but for NFKC forms, which Spark lacks."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lookup_key(c: Column) -> Column:
@@ -79,3 +83,19 @@ def aliased_key(c: Column, aliases: dict[str, str]) -> Column:
     if not aliases:
         return key
     return F.coalesce(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))[key], key)
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc(c: pd.Series) -> pd.Series:
+    return c.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def evidence(c: Column) -> Column:
+    """NFKC form in lower case, white space collapsed. Only texts beyond ASCII go to Python; null stays null."""
+    whole = F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    return F.trim(F.regexp_replace(F.lower(whole), r"\s+", " "))
+
+
+def requested_count(requested: Column) -> Column:
+    """How many different things an array of (name, id) asks for: by id, or by the name's key where the id is null."""
+    return F.size(F.array_distinct(F.transform(requested, lambda r: F.coalesce(r["id"].cast("string"), F.concat(F.lit("unknown:"), F.coalesce(lookup_key(r["name"]), F.lit("")))))))

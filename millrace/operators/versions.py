@@ -40,3 +40,15 @@ def activate(versions: DataFrame, version: str, name: str = "version", status: s
     checked = versions.crossJoin(F.broadcast(versions.agg(ready)))  # one row
     new = F.when(F.col("_ready") == 0, F.col(status)).when(F.col(name) == version, "ACTIVE").when(F.col(status) == "ACTIVE", "INACTIVE").otherwise(F.col(status))
     return checked.withColumn(status, new).select(*versions.columns)
+
+
+def pinned(versions: DataFrame, version: str, metadata: dict[str, object], experimental: bool = False, name: str = "version", status: str = "status") -> DataFrame:
+    """The one row of a version that may be read; a LookupError where there is none or its metadata are others."""
+    allowed = ["VALIDATED", "ACTIVE"] + ["EXPERIMENTAL"] * experimental
+    found = versions.where((F.col(name) == version) & F.col(status).isin(*allowed)).limit(1)
+    row = found.first()
+    if row is None:
+        raise LookupError(f"version {version!r} is not available")
+    if unlike := [c for c, wanted in metadata.items() if row[c] != wanted]:
+        raise LookupError(f"version {version!r} differs in {', '.join(unlike)}")
+    return found

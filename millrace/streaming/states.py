@@ -31,3 +31,18 @@ def until_terminal(events: DataFrame, terminal: str = "purchase") -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "applied": [applied], "terminal": [int(done)]})
 
     return events.groupBy("user_id").applyInPandasWithState(apply, "user_id long, applied long, terminal int", "applied long, done boolean", "update", "NoTimeout")
+
+
+def first_statuses(events: DataFrame, key: str, tool: str, named: dict[str, str], silent: list[str], other: str = "using_tool", late: str | None = None) -> DataFrame:
+    """events with their tool's status, each status once a key; tools not named share one status, silent ones have none.
+
+    On a table one event of each status stays; on a stream the first to come, and ts with the delay `late` says when a
+    key's statuses may be forgotten. A null tool has no status.
+    """
+    status = F.when(F.col(tool).isNull() | F.col(tool).isin(*silent), F.lit(None))
+    for name, shown in named.items():
+        status = status.when(F.col(tool) == name, shown)
+    told = events.withColumn("status", status.otherwise(other)).where("status is not null")
+    if late is None:
+        return told.dropDuplicates([key, "status"])
+    return told.withWatermark("ts", late).dropDuplicatesWithinWatermark([key, "status"])
