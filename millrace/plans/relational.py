@@ -124,11 +124,13 @@ SQL: dict[str, str] = {
           left join (select 'red' as alias, 'crimson' as canonical union all select 'blue', 'navy' union all select 'green', 'green') v on p.word = v.alias) t group by decision""",
     # quality rules, scores, gates
     "validation_issues": """
-        select l_orderkey as record, l_linenumber as line, code, severity from (
-          select l_orderkey, l_linenumber, case when l_discount > 0.09 then 'DISCOUNT_IMPLAUSIBLE' end as code, 'ERROR' as severity from {lineitem}
-          union all select l_orderkey, l_linenumber, case when l_quantity > 49 then 'QUANTITY_LARGE' end, 'WARNING' from {lineitem}
-          union all select l_orderkey, l_linenumber, case when l_shipdate < o_orderdate then 'SHIPPED_BEFORE_ORDER' end, 'ERROR' from {lineitem} join {orders} on l_orderkey = o_orderkey) t
-        where code is not null""",
+        select record, line, issue.code, issue.severity from (
+          select l_orderkey as record, l_linenumber as line, explode(array(
+            case when l_discount > 0.09 then struct('DISCOUNT_IMPLAUSIBLE' as code, 'ERROR' as severity) end,
+            case when l_quantity > 49 then struct('QUANTITY_LARGE' as code, 'WARNING' as severity) end,
+            case when l_shipdate < o_orderdate then struct('SHIPPED_BEFORE_ORDER' as code, 'ERROR' as severity) end)) as issue
+          from {lineitem} left join {orders} on l_orderkey = o_orderkey) t
+        where issue is not null""",
     "quality_gate": """
         select doc_id, score, case when errors > 0 or score < 0.70 then 'REJECTED' when score < 0.85 then 'REVIEW' else 'PUBLISHED' end as status from (
           select d.doc_id, case when coalesce(l.toxic, 0) = 1 then 1 else 0 end as errors,
@@ -207,6 +209,12 @@ SQL: dict[str, str] = {
 
 #: The same questions as one would ask them of a single node; other engines run these as the check.
 PLAIN: dict[str, str] = {
+    "validation_issues": """
+        select l_orderkey as record, l_linenumber as line, code, severity from (
+          select l_orderkey, l_linenumber, case when l_discount > 0.09 then 'DISCOUNT_IMPLAUSIBLE' end as code, 'ERROR' as severity from {lineitem}
+          union all select l_orderkey, l_linenumber, case when l_quantity > 49 then 'QUANTITY_LARGE' end, 'WARNING' from {lineitem}
+          union all select l_orderkey, l_linenumber, case when l_shipdate < o_orderdate then 'SHIPPED_BEFORE_ORDER' end, 'ERROR' from {lineitem} join {orders} on l_orderkey = o_orderkey) t
+        where code is not null""",
     "pagination": """
         select o_orderkey, total, total_pages from (
           select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey desc) as rn, count(*) over () as total, cast(ceil(count(*) over () / 20.0e0) as bigint) as total_pages from {orders}) t
