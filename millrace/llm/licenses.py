@@ -70,7 +70,7 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str, str]], threshold: float):
         self.threshold = threshold
         self.seeds = [np.uint64((0xD1342543DE82EF95 * (2 * b + 3)) & 0xFFFFFFFFFFFFFFFF | 1) for b in range(bands_for(threshold))]
-        self.templates = [(license_id, kind, np.unique(shingles(WORD.findall(text.lower())))) for license_id, kind, text in templates]
+        self.templates = [(license_id, kind, np.unique(shingles([w.lower() for w in WORD.findall(text)]))) for license_id, kind, text in templates]
         self.by_size: dict[int, list[int]] = defaultdict(list)
         for i, (_, _, s) in enumerate(self.templates):
             if len(s):
@@ -150,7 +150,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None
     """doc_id, license, kind, start, stop, containment: a row for each template found in a text.
 
     start and stop are code points of the whole text; each copy is a row, and copies don't overlap. Words
-    are runs of letters and digits, lower-cased. A null or empty text has no hits; repeated rows have theirs each; an
+    are runs of letters and digits of the text as it is, each lower-cased by itself. A null or empty text has no hits; repeated rows have theirs each; an
     empty table gives no rows; other columns are ignored. Templates are few (a parameter) and go with the task.
     """
     templates = TEMPLATES if templates is None else templates
@@ -159,15 +159,14 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None
         scanner = Scanner(templates, threshold)
 
         def finish(part: list[tuple]) -> pa.RecordBatch:
-            lists = [[w.group() for w in WORD.finditer(text.lower())] for _, text in part]
+            lists = [[w.lower() for w in WORD.findall(text)] for _, text in part]
             flat = [shingles(w) for w in lists]
             ends = np.cumsum([len(x) for x in flat])
             starts = ends - [len(x) for x in flat]
             out = []
             for t, i, first, last, kept in scanner.scan(np.concatenate(flat), starts, ends):
                 doc_id, text = part[t]
-                lower = text.lower()
-                spans = [w.span() for w in WORD.finditer(lower if len(lower) == len(text) else text)]
+                spans = [w.span() for w in WORD.finditer(text)]
                 license_id, kind, _ = scanner.templates[i]
                 out.append((doc_id, license_id, kind, spans[first][0], spans[min(len(spans), last + SHINGLE) - 1][1], kept))
             out.sort(key=lambda r: (r[0] is None, r[0] or 0, r[3], r[1], r[2]))

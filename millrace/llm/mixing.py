@@ -65,7 +65,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, pas
 
     Sources by code point, null last, take the weights in turn. With sources in order of cap / weight, those that reach
     their cap are the first so many; prefix sums give for each number of them the rate that is left for the others,
-    and the least number that holds is the answer, so one aggregate finds it for any number of sources.
+    and the first that holds is the answer: later ones hold too but are lower, so one maximum finds it for any number of sources.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     # Spark compares strings by their UTF-8 bytes, which is the order of code points
@@ -81,7 +81,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, pas
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         full = full.withColumn("_caps", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("_weights", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         full = full.withColumn("_rate", (F.lit(budget) - F.col("_caps")) / (F.lit(float(weight)) - F.col("_weights")))
-        rate, most = full.agg(F.min(F.when(F.col("_rate") < F.col("_full"), F.col("_rate"))), F.max("_full")).first()
+        rate, most = full.agg(F.max(F.when(F.col("_rate") < F.col("_full"), F.col("_rate"))), F.max("_full")).first()
         rate = most if rate is None else rate
     return totals.withColumn("target", F.least("cap", F.col("weight") * F.lit(float(rate)))).withColumn("n_sources", F.lit(n)), n
 

@@ -78,6 +78,50 @@ def test_mixing(docs, empty):
     assert set(mixing.mixed_documents(docs).columns) == set(docs.columns)
 
 
+def test_targets_against_repeated_resharing(spark):
+    """Random sets of 1 to 40 sources, empty ones and single ones among them: cap, reshare what is left by weight, again."""
+    rng = random.Random(12)
+    for n in (1, 2, 3, 5, 7, 12, 20, 40):
+        for kind in range(3):
+            sizes = [rng.choice([0, rng.randint(1, 9), rng.randint(1, 4000), 10**rng.randint(1, 5)]) if kind else 100 for _ in range(n)]
+            table = spark.createDataFrame([(f"s{i:02d}", x) for i, x in enumerate(sizes)], "source string, size long")
+            found, many = mixing.source_targets(table, (5, 2, 1), 1.5, 2)
+            found = {r["source"]: r["target"] for r in found.collect()}
+            weight, caps, budget = [(5, 2, 1)[i % 3] for i in range(n)], [2.0 * x for x in sizes], 1.5 * sum(sizes)
+            target, open_ = [0.0] * n, set(range(n))
+            while open_:
+                rest = budget - sum(target[i] for i in range(n) if i not in open_)
+                rate = rest / sum(weight[i] for i in open_)
+                over = {i for i in open_ if weight[i] * rate >= caps[i]}
+                for i in open_:
+                    target[i] = caps[i] if i in over else weight[i] * rate
+                open_ -= over
+                if not over:
+                    break
+            assert many == n and all(math.isclose(found[f"s{i:02d}"], target[i], rel_tol=1e-9, abs_tol=1e-6) for i in range(n))
+
+
+def test_mixing_of_the_given_documents_is_near_its_targets(spark):
+    out = mixing.op1_mixing(spark, "/root/testdata/sf0.01").selectExpr("source", "target", "size", "taken").collect()
+    taken, target = Counter(), {}
+    for r in out:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert min(target.values()) > 0 and all(abs(taken[s] - t) <= max(0.01 * t, 64) for s, t in target.items())
+    assert abs(sum(taken.values()) - 1.5 * sum(r["size"] for r in out)) <= 0.01 * sum(taken.values())
+
+
+def test_license_places_where_lower_case_changes_the_length(spark):
+    notice = next(t for _, _, t in licenses.TEMPLATES)
+    texts = ["\u0130s " * 50 + notice, "\u0130s " + notice, "\u1e9e " * 3 + notice + " \u0130", notice.upper()]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"]: r for r in licenses.scan_licenses(table).collect() if r["containment"] == 1.0}
+    for i, text in enumerate(texts[:3]):
+        assert text[whole[i]["start"] : whole[i]["stop"]] == notice.strip().rstrip(".")
+    assert 3 in whole
+
+
 def test_sharding(docs, empty):
     out = sharding.shard_by_bytes(docs, shards=4).collect()
     given = rows()

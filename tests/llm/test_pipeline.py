@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from millrace.llm import langid, licenses, media, neardup, packing, queries, tokencount
+from millrace.llm import common, langid, licenses, media, neardup, packing, queries, tokencount
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, rejected string, _n int, _p int, size long, _h string, tags array<string>"
 WORDS = {"en": "the house of a river and their garden with some water under old trees".split(), "de": "das haus und der fluss mit einem garten unter alten bäumen am wasser".split()}
 
@@ -68,6 +69,23 @@ def test_mixing_stage_takes_sources_near_their_targets(spark, table, rows):
     taken = Counter(plain(r) for r in out)
     given = Counter(plain(r) for r in rows)
     assert all(n <= 2 * given[r] for r, n in taken.items())
+    sizes = [len((r[1] or "").encode().split()) for r in rows]
+    # a text that is taken in part counts by its half, so the longest may miss by its half
+    assert abs(sum(len((r["text"] or "").encode().split()) for r in out) - 1.5 * sum(sizes)) <= 0.05 * sum(sizes) + max(sizes) / 2
+
+
+def test_the_pipeline_keeps_what_its_stages_should(spark):
+    """Over the given documents: nearly all have a language, most are of a class of their own, half as much again is taken."""
+    docs = common.documents(spark, SF)
+    count, words = docs.count(), lambda df: df.selectExpr("sum(size(split(trim(text), '\\\\s+')))").first()[0]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, common.stored(stage(spark, docs, SF), name)
+        if name == "mixing":
+            assert 1.4 <= words(docs) / words(before) <= 1.6
+        else:
+            assert docs.count() >= 0.5 * count
+    out = corpus_pipeline.packing(spark, docs, SF)
+    assert out.where("piece = 0").count() == docs.count() > 0
 
 
 def test_packing_stage_holds_every_piece_once(spark, table, rows):
