@@ -34,9 +34,9 @@ COVERED = (80, 100)
 FIRST = 2000
 
 #: Words of one trie at most, nodes of one stored block, bytes of one merged range, sampled cut points at most.
-SHARD_WORDS = 2_000_000
-BLOCK_NODES = 1 << 15
-RANGE_BYTES = 24 << 20
+SHARD_WORDS = 1_000_000
+BLOCK_NODES = 1 << 17
+RANGE_BYTES = 16 << 20
 SAMPLE = 20_000
 #: Bits of the table of pairs that may be frequent: 16 MB at any size of input.
 FILTER_BITS = 27
@@ -139,12 +139,6 @@ class Trie:
         own = self.n > 0
         return out[own], self.n[own]
 
-    def blocks(self, nodes: int) -> Iterator[Trie]:
-        """Tries of at most so many counted nodes each, in order."""
-        paths, n = self.paths()
-        for i in range(0, len(n), nodes):
-            yield Trie.of_paths(self.vocab, paths[i : i + nodes], n[i : i + nodes])
-
     def split(self, cuts: list[tuple[bytes, bytes]]) -> Iterator[tuple[int, Trie]]:
         """(range, trie) of its paths between neighbouring cuts; a path is at or behind a cut by its first two words."""
         paths, n = self.paths()
@@ -192,8 +186,8 @@ class Shard:
         self.ahead.append(np.arange(self.size + len(words), self.size + n))
         self.size += n + 1
 
-    def built(self, lang: str, depths: tuple[int, int], frequent: np.ndarray | None) -> tuple[Trie, int]:
-        """The trie of phrases between two depths, and the number of words."""
+    def built(self, lang: str, depths: tuple[int, int], frequent: np.ndarray | None) -> tuple[Iterator[Trie], int]:
+        """The trie of phrases between two depths, in blocks in the order of their paths, and the number of words."""
         vocab = sorted(w for w in self.ids if w != BREAK)
         place = np.zeros(len(self.ids), np.int64)
         place[[self.ids[w] for w in vocab]] = np.arange(1, len(vocab) + 1)
@@ -233,7 +227,8 @@ class Shard:
         paths, n = np.concatenate([p for p, _ in levels]), np.concatenate([n for _, n in levels])
         paths, n = paths[n > 0], n[n > 0]
         order = np.lexsort(paths.T[::-1])
-        return Trie.of_paths(vocab, paths[order], n[order]), int(own.sum())
+        blocks = (order[i : i + BLOCK_NODES] for i in range(0, len(order), BLOCK_NODES))
+        return (Trie.of_paths(vocab, paths[b], n[b]) for b in blocks), int(own.sum())
 
 
 def tries(docs: DataFrame, depths: tuple[int, int], frequent=None) -> DataFrame:
@@ -245,8 +240,8 @@ def tries(docs: DataFrame, depths: tuple[int, int], frequent=None) -> DataFrame:
 
         def finish(lang: str) -> Iterator[pa.RecordBatch]:
             shard = shards.pop(lang)
-            trie, words = shard.built(lang, depths, table)
-            for block in trie.blocks(BLOCK_NODES):
+            blocks, words = shard.built(lang, depths, table)
+            for block in blocks:
                 yield pa.RecordBatch.from_pylist([block.row(lang, words)], schema=RUN)
                 words = 0
 
@@ -255,10 +250,8 @@ def tries(docs: DataFrame, depths: tuple[int, int], frequent=None) -> DataFrame:
                 for words, ahead in parts(text.as_py() or ""):
                     shard = shards.setdefault(lang, Shard())
                     shard.add(words, ahead)
-                    if shard.size >= SHARD_WORDS:
-                        yield from finish(lang)
-            if sum(s.size for s in shards.values()) >= 2 * SHARD_WORDS:
-                yield from finish(max(shards, key=lambda x: shards[x].size))
+                    if sum(s.size for s in shards.values()) >= 2 * SHARD_WORDS or shard.size >= SHARD_WORDS:
+                        yield from finish(max(shards, key=lambda x: shards[x].size))
         for lang in list(shards):
             yield from finish(lang)
 
@@ -309,11 +302,11 @@ def merged(runs: DataFrame, least: int) -> DataFrame:
             runs_.append(np.pad(own[paths], ((0, 0), (0, DEEPEST - paths.shape[1]))))
             counts.append(n)
         paths, n = np.concatenate(runs_), np.concatenate(counts)
-        key, width = paths[:, 0], len(vocab) + 1
-        for d in range(1, DEEPEST):  # dense numbers of the prefixes, then of the whole paths
-            if not paths[:, d].any():
-                break
-            key = np.unique(key * width + paths[:, d], return_inverse=True)[1]
+        key, width, deepest = paths[:, 0], len(vocab) + 1, int((paths > 0).sum(1).max())
+        for d in range(1, deepest):
+            key = key * width + paths[:, d]
+            if d < deepest - 1:
+                key = np.unique(key, return_inverse=True)[1]  # dense numbers of the prefixes
         order = np.argsort(key, kind="stable")
         edge = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0])
         total = np.add.reduceat(n[order], edge)

@@ -309,5 +309,6 @@ def op13_secrets(spark, sf_dir: str) -> DataFrame:
     spans = F.col("found")
     joined = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
     base = F.filter(spans, lambda x: x["kind"] != "literal")
-    counts = [F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda k: F.filter(spans, lambda x: x["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return scan_secrets(documents(spark, sf_dir), spans="found").select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
