@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .fingerprints import op3_fingerprints
 from .langid import op9_language_id
 from .licenses import op4_license_scan
@@ -15,5 +16,5 @@ from .secrets import op13_secrets
 from .sharding import op2_sharding
 from .tokencount import op8_token_counts
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op4_license_scan": op4_license_scan, "op5_lm_scores": op5_lm_scores, "op6_packing": op6_packing, "op7_order_minhash": op7_order_minhash, "op8_token_counts": op8_token_counts, "op9_language_id": op9_language_id, "op10_media_copies": op10_media_copies, "op11_phrases": op11_phrases, "op13_secrets": op13_secrets}
+QUERIES = {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op4_license_scan": op4_license_scan, "op5_lm_scores": op5_lm_scores, "op6_packing": op6_packing, "op7_order_minhash": op7_order_minhash, "op8_token_counts": op8_token_counts, "op9_language_id": op9_language_id, "op10_media_copies": op10_media_copies, "op11_phrases": op11_phrases, "op12_alignment": op12_alignment, "op13_secrets": op13_secrets}
 ORACLES: dict[str, str] = {"op11_phrases": PHRASES}
