@@ -10,24 +10,37 @@ def set_pairs(sets: DataFrame, block: list[str], threshold: float, item: str = "
     """(left_id, right_id, similarity): pairs of one block with Jaccard >= threshold, left_id < right_id.
 
     Elements are ordered rarest first inside the block; two sets that reach the threshold share one of their first
-    size - ceil(threshold size) + 1 elements, so only those are joined, and only sets of fitting sizes.
+    size - ceil(threshold size) + 1 elements, so only those are joined, and only sets of fitting sizes. Equal sets
+    are joined as one and their items put in at the end, as the result lists every pair.
     """
     # an empty set is alike to empty sets alone: it gets one element that no other set has
     empty = F.array(F.lit("\0empty"))
-    known = F.coalesce(F.col(elements).cast("array<string>"), F.array().cast("array<string>"))
-    sets = sets.withColumn(elements, F.when(F.size(known) == 0, empty).otherwise(known))
-    rows = sets.select(item, *block, F.explode(elements).alias("_e"))
+    known = F.coalesce(F.array_sort(F.array_distinct(F.col(elements).cast("array<string>"))), F.array().cast("array<string>"))
+    sets = sets.select(F.col(item).alias("_item"), *block, F.when(F.size(known) == 0, empty).otherwise(known).alias("_set"))
+    # sets that many items have meet once, as one representative
+    distinct = sets.groupBy(*block, "_set").agg(F.min("_item").alias("_id"))
+    rows = distinct.select("_id", *block, F.explode("_set").alias("_e"))
     often = rows.groupBy(*block, "_e").agg(F.count(F.lit(1)).alias("_f"))
-    ordered = rows.select(item, *block, "_e").join(often, [*block, "_e"])
-    place = F.row_number().over(Window.partitionBy(item).orderBy("_f", "_e"))
-    size = F.count(F.lit(1)).over(Window.partitionBy(item))
-    first = ordered.withColumn("_p", place).withColumn("_n", size).where(F.col("_p") <= F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n") - 1e-9) + 1)
-    left, right = (first.select(*block, "_e", F.col(item).alias(f"{s}_id"), F.col("_n").alias(f"_n_{s}")) for s in ("left", "right"))
-    met = left.join(right, [*block, "_e"]).where((F.col("left_id") < F.col("right_id")) & (F.least("_n_left", "_n_right") >= threshold * F.greatest("_n_left", "_n_right") - 1e-9))
-    met = met.select("left_id", "right_id").distinct()
-    a, b = (sets.select(F.col(item).alias(f"{s}_id"), F.col(elements).alias(f"_{s}")) for s in ("left", "right"))
-    shared, either = F.size(F.array_intersect("_left", "_right")), F.size(F.array_union("_left", "_right"))
-    return met.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", F.round(shared / either, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    ordered = rows.join(often, [*block, "_e"])
+    group = Window.partitionBy(*block, "_id")
+    first = ordered.withColumn("_p", F.row_number().over(group.orderBy("_f", "_e"))).withColumn("_n", F.count(F.lit(1)).over(group))
+    first = first.where(F.col("_p") <= F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n") - 1e-9) + 1)
+    left, right = (first.select(*block, "_e", F.col("_id").alias(f"_{s}"), F.col("_n").alias(f"_n_{s}"), F.col("_p").alias(f"_p_{s}")) for s in ("left", "right"))
+    # what both may still share behind the place where they meet must be enough for the overlap
+    overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("_n_left") + F.col("_n_right")) - 1e-9)
+    rest = F.least(F.col("_n_left") - F.col("_p_left"), F.col("_n_right") - F.col("_p_right")) + F.least("_p_left", "_p_right")
+    fits = (F.least("_n_left", "_n_right") >= threshold * F.greatest("_n_left", "_n_right") - 1e-9) & (rest >= overlap)
+    met = left.join(right, [*block, "_e"]).where((F.col("_left") < F.col("_right")) & fits).select(*block, "_left", "_right").distinct()
+    a, b = (distinct.select(*block, F.col("_id").alias(f"_{s}"), F.col("_set").alias(f"_set_{s}")) for s in ("left", "right"))
+    shared, either = F.size(F.array_intersect("_set_left", "_set_right")), F.size(F.array_union("_set_left", "_set_right"))
+    alike = met.join(a, [*block, "_left"]).join(b, [*block, "_right"]).select(*block, "_left", "_right", F.round(shared / either, 6).alias("similarity"))
+    alike = alike.where(F.col("similarity") >= threshold).unionByName(distinct.select(*block, F.col("_id").alias("_left"), F.col("_id").alias("_right"), F.lit(1.0).alias("similarity")))
+    named = sets.join(distinct, [*block, "_set"]).select(*block, "_id", "_item")
+    x, y = (named.select(*block, F.col("_id").alias(f"_{s}"), F.col("_item").alias(f"_x_{s}")) for s in ("left", "right"))
+    out = alike.join(x, [*block, "_left"]).join(y, [*block, "_right"])
+    # between unlike sets each item pair comes once; inside one set both ways, of which one stays
+    out = out.where((F.col("_left") != F.col("_right")) | (F.col("_x_left") < F.col("_x_right")))
+    return out.select(F.least("_x_left", "_x_right").alias("left_id"), F.greatest("_x_left", "_x_right").alias("right_id"), "similarity")
 
 
 def clusters(links: DataFrame, left: str, right: str) -> DataFrame:
