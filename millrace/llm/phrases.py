@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ COVERED = (80, 100)
 FIRST = 2000
 
 #: Words of one trie at most, nodes of one stored block, bytes of one merged range, sampled cut points at most.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 BLOCK_NODES = 1 << 17
 RANGE_BYTES = 16 << 20
 SAMPLE = 20_000
@@ -52,8 +53,10 @@ for _c in DELIMITERS:
     _MAP[_c] = 0xFF
 _MAP = bytes(_MAP)
 
-TRIE = "lang string, words long, size long, vocab array<string>, depth array<byte>, word array<int>, n array<long>"
-RUN = pa.schema([("lang", pa.string()), ("words", pa.int64()), ("size", pa.int64()), ("vocab", pa.list_(pa.string())), ("depth", pa.list_(pa.int8())), ("word", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+#: A block of a trie: words of the whole trie (in its first block), bytes of its nodes and words, its first path's
+#: first two words, its words and its nodes packed.
+TRIE = "lang string, words long, size long, a string, b string, vocab binary, nodes binary"
+RUN = pa.schema([("lang", pa.string()), ("words", pa.int64()), ("size", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("vocab", pa.binary()), ("nodes", pa.binary())])
 
 
 def parts(text: str, most: int = PART_BYTES) -> Iterator[tuple[list[bytes], list[bytes]]]:
@@ -159,12 +162,18 @@ class Trie:
             at = until
 
     def row(self, lang: str, words: int) -> dict:
-        size = 13 * len(self.n) + sum(map(len, self.vocab))
-        return {"lang": lang, "words": words, "size": size, "vocab": [w.decode("utf-8", "surrogatepass") for w in self.vocab], "depth": self.depth, "word": self.word, "n": self.n}
+        first, *more = (self.vocab[w].decode("utf-8", "surrogatepass") for w in self.word[: 2 if (self.depth[:2] == [1, 2]).all() else 1])
+        vocab = b"\n".join(self.vocab)  # no word has a line end
+        nodes = self.depth.tobytes() + self.word.tobytes() + self.n.astype(np.int64).tobytes()
+        pack = zstandard.ZstdCompressor(1).compress
+        return {"lang": lang, "words": words, "size": len(nodes) + len(vocab), "a": first, "b": more[0] if more else "", "vocab": pack(vocab), "nodes": pack(nodes)}
 
     @classmethod
-    def of_row(cls, vocab, depth, word, n) -> Trie:
-        return cls([w.encode("utf-8", "surrogatepass") for w in vocab.as_py()], depth.values.to_numpy(), word.values.to_numpy(), n.values.to_numpy())
+    def of_row(cls, vocab: bytes, nodes: bytes) -> Trie:
+        unpack = zstandard.ZstdDecompressor().decompress
+        data = unpack(nodes)
+        k = len(data) // 13
+        return cls(unpack(vocab).split(b"\n"), np.frombuffer(data, np.int8, k), np.frombuffer(data, np.int32, k, k), np.frombuffer(data, np.int64, k, 5 * k))
 
 
 class Shard:
@@ -263,8 +272,7 @@ def cut_points(runs: DataFrame) -> dict[str, list[tuple[bytes, bytes]]]:
 
     Taken from at most SAMPLE blocks' first paths; they decide only which task merges what.
     """
-    two = F.when(F.element_at("depth", 2) == 2, F.element_at("vocab", F.element_at("word", 2) + 1)).otherwise("")
-    firsts = runs.where(F.size("depth") > 1).select("lang", "size", F.element_at("vocab", F.element_at("word", 1) + 1).alias("a"), two.alias("b"))
+    firsts = runs.select("lang", "a", "b")
     sizes = {r["lang"]: r["size"] for r in runs.groupBy("lang").agg(F.sum("size").alias("size")).orderBy(F.desc("size")).limit(SAMPLE).collect()}
     found: dict[str, list[tuple[bytes, bytes]]] = {}
     for r in firsts.orderBy(F.xxhash64("lang", "a", "b")).limit(SAMPLE).collect():
@@ -286,13 +294,13 @@ def merged(runs: DataFrame, least: int) -> DataFrame:
             for i in range(batch.num_rows):
                 lang = batch.column(0)[i].as_py()
                 out = []
-                for r, trie in Trie.of_row(*(batch.column(k)[i] for k in range(1, 5))).split(cuts.get(lang, [])):
+                for r, trie in Trie.of_row(batch.column(1)[i].as_py(), batch.column(2)[i].as_py()).split(cuts.get(lang, [])):
                     out.append({"range": r} | trie.row(lang, 0))
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("range", pa.int32()), *RUN]))
 
     def merge(rows: pa.Table) -> pa.Table:
         lang = rows.column("lang")[0].as_py()
-        held = [Trie.of_row(v, d, w, n) for v, d, w, n in zip(*(rows.column(c) for c in ("vocab", "depth", "word", "n")))]
+        held = [Trie.of_row(v.as_py(), n.as_py()) for v, n in zip(rows.column("vocab"), rows.column("nodes"))]
         vocab = sorted(set().union(*(t.vocab for t in held)))
         place = {w: i for i, w in enumerate(vocab, 1)}
         runs_, counts = [], []
@@ -320,7 +328,7 @@ def merged(runs: DataFrame, least: int) -> DataFrame:
         slot = pair_slots(lang, hashes[paths[:, 0]], hashes[paths[:, 1]]).astype(np.int64)
         return pa.table({"lang": pa.array([lang] * len(total), pa.string()), "phrase": pa.array(phrases, pa.string()), "n_words": pa.array(words, pa.int32()), "f": pa.array(total, pa.int64()), "slot": pa.array(slot)})
 
-    dealt = runs.select("lang", "vocab", "depth", "word", "n").mapInArrow(part, "range int, " + TRIE)
+    dealt = runs.select("lang", "vocab", "nodes").mapInArrow(part, "range int, " + TRIE).drop("words", "size", "a", "b")
     return dealt.groupBy("lang", "range").applyInArrow(merge, "lang string, phrase string, n_words int, f long, slot long")
 
 
