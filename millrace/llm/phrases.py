@@ -37,7 +37,7 @@ FIRST = 2000
 #: Words of one trie at most, nodes of one stored block, bytes of one merged range, sampled cut points at most.
 SHARD_WORDS = 500_000
 BLOCK_NODES = 1 << 17
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 6 << 20
 SAMPLE = 20_000
 #: Bits of the table of pairs that may be frequent: 16 MB at any size of input.
 FILTER_BITS = 27
@@ -300,17 +300,27 @@ def merged(runs: DataFrame, least: int) -> DataFrame:
 
     def merge(rows: pa.Table) -> pa.Table:
         lang = rows.column("lang")[0].as_py()
-        held = [Trie.of_row(v.as_py(), n.as_py()) for v, n in zip(rows.column("vocab"), rows.column("nodes"))]
-        vocab = sorted(set().union(*(t.vocab for t in held)))
+        cells = list(zip(rows.column("vocab"), rows.column("nodes")))
+        found: set[bytes] = set()
+        for v, _ in cells:  # one cell's words at a time, so that equal words are held once
+            found.update(zstandard.ZstdDecompressor().decompress(v.as_py()).split(b"\n"))
+        vocab = sorted(found)
         place = {w: i for i, w in enumerate(vocab, 1)}
         runs_, counts = [], []
-        for t in held:
+        for v, packed in cells:
+            t = Trie.of_row(v.as_py(), packed.as_py())
             paths, n = t.paths()
-            own = np.r_[0, np.fromiter(map(place.__getitem__, t.vocab), np.int64, len(t.vocab))]
-            runs_.append(np.pad(own[paths], ((0, 0), (0, DEEPEST - paths.shape[1]))))
+            own = np.r_[0, np.fromiter(map(place.__getitem__, t.vocab), np.int64, len(t.vocab))].astype(np.int32)
+            runs_.append(own[paths])
             counts.append(n)
-        paths, n = np.concatenate(runs_), np.concatenate(counts)
-        key, width, deepest = paths[:, 0], len(vocab) + 1, int((paths > 0).sum(1).max())
+        deepest, width = max(p.shape[1] for p in runs_), len(vocab) + 1
+        paths, n = np.zeros((sum(map(len, counts)), deepest), np.int32), np.concatenate(counts)
+        at = 0
+        for p in runs_:
+            paths[at : at + len(p), : p.shape[1]] = p
+            at += len(p)
+        runs_.clear()
+        key = paths[:, 0].astype(np.int64)
         for d in range(1, deepest):
             key = key * width + paths[:, d]
             if d < deepest - 1:
@@ -325,7 +335,7 @@ def merged(runs: DataFrame, least: int) -> DataFrame:
         hashes = np.zeros(len(vocab) + 1, np.uint64)
         used = np.unique(paths[paths > 0])
         hashes[used] = word_hashes([vocab[i - 1] for i in used])
-        slot = pair_slots(lang, hashes[paths[:, 0]], hashes[paths[:, 1]]).astype(np.int64)
+        slot = pair_slots(lang, hashes[paths[:, 0]], hashes[paths[:, 1] if deepest > 1 else 0 * paths[:, 0]]).astype(np.int64)
         return pa.table({"lang": pa.array([lang] * len(total), pa.string()), "phrase": pa.array(phrases, pa.string()), "n_words": pa.array(words, pa.int32()), "f": pa.array(total, pa.int64()), "slot": pa.array(slot)})
 
     dealt = runs.select("lang", "vocab", "nodes").mapInArrow(part, "range int, " + TRIE).drop("words", "size", "a", "b")
