@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import pairs, records, relational, retrieval, scoring
+from . import pairs, records, relational, retrieval, scoring, streams
 
-_PARTS = (relational, retrieval, scoring, records, pairs)
+_PARTS = (relational, retrieval, scoring, records, pairs, streams)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: text for part in _PARTS for name, text in part.ORACLES.items()}
