@@ -39,6 +39,8 @@ SHARD_WORDS = 500_000
 BLOCK_NODES = 1 << 17
 RANGE_BYTES = 6 << 20
 SAMPLE = 20_000
+#: One path of so many is marked.
+MARKED = 2048
 #: Bits of the table of pairs that may be frequent: 16 MB at any size of input.
 FILTER_BITS = 27
 #: Bytes of a text that are split into words at a time.
@@ -53,10 +55,10 @@ for _c in DELIMITERS:
     _MAP[_c] = 0xFF
 _MAP = bytes(_MAP)
 
-#: A block of a trie: words of the whole trie (in its first block), bytes of its nodes and words, its first path's
-#: first two words, its words and its nodes packed.
-TRIE = "lang string, words long, size long, a string, b string, vocab binary, nodes binary"
-RUN = pa.schema([("lang", pa.string()), ("words", pa.int64()), ("size", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("vocab", pa.binary()), ("nodes", pa.binary())])
+#: A block of a trie: words of the whole trie (in its first block), bytes of its nodes and words, the first two words
+#: of evenly spaced paths (parted by a space), its words and its nodes packed.
+TRIE = "lang string, words long, size long, marks array<string>, vocab binary, nodes binary"
+RUN = pa.schema([("lang", pa.string()), ("words", pa.int64()), ("size", pa.int64()), ("marks", pa.list_(pa.string())), ("vocab", pa.binary()), ("nodes", pa.binary())])
 
 
 def parts(text: str, most: int = PART_BYTES) -> Iterator[tuple[list[bytes], list[bytes]]]:
@@ -162,11 +164,12 @@ class Trie:
             at = until
 
     def row(self, lang: str, words: int) -> dict:
-        first, *more = (self.vocab[w].decode("utf-8", "surrogatepass") for w in self.word[: 2 if (self.depth[:2] == [1, 2]).all() else 1])
+        paths, _ = self.paths()
+        marks = [b" ".join(self.vocab[i - 1] for i in p if i).decode("utf-8", "surrogatepass") for p in paths[MARKED // 2 :: MARKED, :2].tolist()]
         vocab = b"\n".join(self.vocab)  # no word has a line end
         nodes = self.depth.tobytes() + self.word.tobytes() + self.n.astype(np.int64).tobytes()
         pack = zstandard.ZstdCompressor(1).compress
-        return {"lang": lang, "words": words, "size": len(nodes) + len(vocab), "a": first, "b": more[0] if more else "", "vocab": pack(vocab), "nodes": pack(nodes)}
+        return {"lang": lang, "words": words, "size": len(nodes) + len(vocab), "marks": marks, "vocab": pack(vocab), "nodes": pack(nodes)}
 
     @classmethod
     def of_row(cls, vocab: bytes, nodes: bytes) -> Trie:
@@ -270,13 +273,14 @@ def tries(docs: DataFrame, depths: tuple[int, int], frequent=None) -> DataFrame:
 def cut_points(runs: DataFrame) -> dict[str, list[tuple[bytes, bytes]]]:
     """Of each language, the first two words at which its paths are cut into ranges of about equal bytes.
 
-    Taken from at most SAMPLE blocks' first paths; they decide only which task merges what.
+    Taken from at most SAMPLE marked paths; they decide only which task merges what.
     """
-    firsts = runs.select("lang", "a", "b")
     sizes = {r["lang"]: r["size"] for r in runs.groupBy("lang").agg(F.sum("size").alias("size")).orderBy(F.desc("size")).limit(SAMPLE).collect()}
+    marks = runs.select("lang", "size", F.posexplode("marks").alias("at", "mark"))
     found: dict[str, list[tuple[bytes, bytes]]] = {}
-    for r in firsts.orderBy(F.xxhash64("lang", "a", "b")).limit(SAMPLE).collect():
-        found.setdefault(r["lang"], []).append((r["a"].encode("utf-8", "surrogatepass"), r["b"].encode("utf-8", "surrogatepass")))
+    for r in marks.orderBy(F.xxhash64("lang", "mark", "size", "at")).limit(SAMPLE).select("lang", "mark").collect():
+        first, _, second = r["mark"].encode("utf-8", "surrogatepass").partition(b" ")
+        found.setdefault(r["lang"], []).append((first, second))
     out = {}
     for lang, names in found.items():
         names.sort()
@@ -338,7 +342,7 @@ def merged(runs: DataFrame, least: int) -> DataFrame:
         slot = pair_slots(lang, hashes[paths[:, 0]], hashes[paths[:, 1] if deepest > 1 else 0 * paths[:, 0]]).astype(np.int64)
         return pa.table({"lang": pa.array([lang] * len(total), pa.string()), "phrase": pa.array(phrases, pa.string()), "n_words": pa.array(words, pa.int32()), "f": pa.array(total, pa.int64()), "slot": pa.array(slot)})
 
-    dealt = runs.select("lang", "vocab", "nodes").mapInArrow(part, "range int, " + TRIE).drop("words", "size", "a", "b")
+    dealt = runs.select("lang", "vocab", "nodes").mapInArrow(part, "range int, " + TRIE).drop("words", "size", "marks")
     return dealt.groupBy("lang", "range").applyInArrow(merge, "lang string, phrase string, n_words int, f long, slot long")
 
 
