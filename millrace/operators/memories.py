@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text
+from ..streaming.keys import named, unnamed
 
 # Least confidence at all, and to change or delete what is sensitive; the sensitive kinds.
 LEAST, SAFETY = 0.80, 0.98
@@ -104,4 +105,6 @@ class Remembering(StatefulProcessor):
 
 def remembered_stream(candidates: DataFrame) -> DataFrame:
     """Changes of memories from a stream of candidates; those of a key must reach it in order. The last row of a key is its memory."""
-    return keyed(candidates).groupBy("owner", "key").transformWithStateInPandas(statefulProcessor=Remembering(), outputStructType=MEMORY, outputMode="Update", timeMode="None")
+    rows = keyed(candidates).withColumn("owner", named(F.col("owner"))).groupBy("owner", "key")
+    out = rows.transformWithStateInPandas(statefulProcessor=Remembering(), outputStructType=MEMORY.replace("owner long", "owner string"), outputMode="Update", timeMode="None")
+    return out.withColumn("owner", unnamed(F.col("owner"), "long"))

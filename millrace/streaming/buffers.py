@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .keys import named, unnamed
+
 TTL_SECONDS, CAPACITY = 600, 32
 ENDS = "key long, item long, put timestamp, fate string, at timestamp"
 
@@ -98,5 +100,6 @@ def fates_stream(puts: DataFrame, ttl: int = TTL_SECONDS, capacity: int = CAPACI
     The state of a key is bounded by the capacity. Items expire when the watermark has passed them, also without a
     further put. Needs a state store with several column families (RocksDB) and the time zone UTC.
     """
-    rows = puts.select("key", "item", "ts").withWatermark("ts", late).groupBy("key")
-    return rows.transformWithStateInPandas(statefulProcessor=Buffer(ttl, capacity), outputStructType=ENDS, outputMode="Append", timeMode="EventTime")
+    rows = puts.select(named(F.col("key")).alias("key"), "item", "ts").withWatermark("ts", late).groupBy("key")
+    out = rows.transformWithStateInPandas(statefulProcessor=Buffer(ttl, capacity), outputStructType=ENDS.replace("key long", "key string"), outputMode="Append", timeMode="EventTime")
+    return out.withColumn("key", unnamed(F.col("key"), "long"))

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .keys import named, unnamed
+
 # Stages that are told and how, tools with a status of their own, and one without any.
 STAGES = {"summarizing_context": "status", "generating_image": "status", "generated_image_ready": "generated_image", "image_generation_failed": "image_error"}
 TOOL_STATUS = {"recipe_search": "searching_recipe_kb", "web_search": "searching_web"}
@@ -123,7 +125,9 @@ def told_stream(events: DataFrame) -> DataFrame:
 
     Needs a state store with several column families (RocksDB). The state of a conversation that has ended is one row.
     """
-    return events.select(*EVENTS).groupBy("conv_id").transformWithStateInPandas(statefulProcessor=Conversation(), outputStructType=TOLD, outputMode="Append", timeMode="None")
+    rows = events.select(*EVENTS).withColumn("conv_id", named(F.col("conv_id"))).groupBy("conv_id")
+    out = rows.transformWithStateInPandas(statefulProcessor=Conversation(), outputStructType=TOLD.replace("conv_id long", "conv_id string"), outputMode="Append", timeMode="None")
+    return out.withColumn("conv_id", unnamed(F.col("conv_id"), "long"))
 
 
 def told(events: DataFrame) -> DataFrame:

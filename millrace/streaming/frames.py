@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .keys import named, unnamed
+
 FRAMES = "source string, n long, event string, data string"
 
 
@@ -109,5 +111,6 @@ class Joining(StatefulProcessor):
 
 def joined_stream(pieces: DataFrame) -> DataFrame:
     """The same from a stream of pieces; those of a source must reach it in order."""
-    rows = pieces.select("source", "seq", "piece").groupBy("source")
-    return _told(rows.transformWithStateInPandas(statefulProcessor=Joining(), outputStructType="source string, n long, frame string", outputMode="Append", timeMode="None"))
+    rows = pieces.select(named(F.col("source")).alias("source"), "seq", "piece").groupBy("source")
+    out = rows.transformWithStateInPandas(statefulProcessor=Joining(), outputStructType="source string, n long, frame string", outputMode="Append", timeMode="None")
+    return _told(out.withColumn("source", unnamed(F.col("source"), "string")))
