@@ -90,8 +90,9 @@ def vector_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 def tfidf_search(spark: SparkSession, d: str) -> DataFrame:
     """Best 3 documents of each benchmark text."""
-    tokens = lambda df, key: df.select(key, F.explode(tx.latin_tokens(F.col("text"))).alias("term"))
-    weights, idf = vectors.tfidf(tokens(table(spark, d, "documents").repartition(8), "doc_id"))
+    tokens = lambda df, key: df.select(key, F.explode(tx.tokens(F.col("text"))).alias("term"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weights, idf = vectors.tfidf(tokens(table(spark, d, "documents").repartition(width), "doc_id"))
     asked = tokens(table(spark, d, "benchmark"), "item_id").groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
     size = asked.groupBy("item_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("size"))
     asked = asked.join(size, "item_id").select(F.col("item_id").alias("query_id"), "term", (F.col("raw") / F.col("size")).alias("q"))

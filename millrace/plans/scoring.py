@@ -88,7 +88,7 @@ def hash_embedding_search(spark: SparkSession, d: str) -> DataFrame:
     """Best 3 documents of each benchmark text by unit vectors of 512 hashed token counts."""
 
     def embedded(name: str, key: str) -> DataFrame:
-        terms = table(spark, d, name).select(key, F.explode(tx.latin_tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        terms = table(spark, d, name).select(key, F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
         bucket = F.conv(F.substring(F.sha2("term", 256), 1, 8), 16, 10).cast("long") % 512
         counts = terms.groupBy(key, bucket.alias("bucket")).agg(F.sum("tf").alias("n"))
         size = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
