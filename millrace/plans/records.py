@@ -134,9 +134,9 @@ def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each conversation in the order in which they first come, and the last number said."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.latin_tokens(F.substring("text", 1, 200)).alias("words"), constraints.number(F.col("text"), "([0-9]{1,3})").alias("number"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.latin_tokens(F.col("text")).alias("words"), constraints.number(F.col("text"), "([0-9]{1,3})").alias("number"))
     words = constraints.ordered_values(turns, "conv_id", "turn", ["words"])
-    return words.join(constraints.last_values(turns, "conv_id", "turn", ["number"]), "conv_id").select("conv_id", F.concat_ws(" ", F.slice("words", 1, 8)).alias("words"), "number")
+    return words.join(constraints.last_values(turns, "conv_id", "turn", ["number"]), "conv_id").select("conv_id", F.concat_ws(" ", "words").alias("words"), "number")
 
 
 _FLAG = {"known": "o_orderkey % 11 <> 0", "parts": "o_custkey % 2 = 0", "sc": "o_custkey % 3 = 0", "pref": "o_custkey % 5 <> 0", "mins": "o_custkey % 7 = 0", "dish": "o_custkey % 13 = 0"}
@@ -149,10 +149,10 @@ _FAILURES = "with f as (select *, " + ", ".join(f"{e} as {k}" for k, e in _FLAG.
       when parts and o_custkey % 4 <> 0 then 'MISSING_ALIAS' else 'RERANKING_FAILURE' end as benchmark from f) t group by 1, 2"""
 _MENTIONS = """select value, count(*) as n from (select unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as value from benchmark) t
   where value in ('the', 'and', 'that', 'there', 'dans', 'und', 'los') group by value"""
-_MERGE = """with w as (select conv_id, turn, regexp_extract_all(lower(substring(text, 1, 200)), '([a-z0-9_]+)', 1) as ws from conversations),
+_MERGE = """with w as (select conv_id, turn, regexp_extract_all(lower(text), '([a-z0-9_]+)', 1) as ws from conversations),
   u as (select conv_id, turn, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
-  f as (select conv_id, word, min(turn * 100000 + i) as first_at from u group by 1, 2),
-  l as (select conv_id, string_agg(word, ' ' order by first_at) filter (where nth <= 8) as words from (select *, row_number() over (partition by conv_id order by first_at) as nth from f) t group by conv_id),
+  f as (select conv_id, word, min(turn * 100000000 + i) as first_at from u group by 1, 2),
+  l as (select conv_id, string_agg(word, ' ' order by first_at) as words from f group by conv_id),
   n as (select conv_id, arg_max(number, turn) filter (where number is not null) as number from (select conv_id, turn, try_cast(nullif(regexp_extract(lower(text), '([0-9]{1,3})', 1), '') as integer) as number from conversations) t group by conv_id)
   select conv_id, coalesce(words, '') as words, number from n left join l using (conv_id)"""
 _BASE = f"""

@@ -26,6 +26,11 @@ def _slice(emb: DataFrame, lane: int) -> DataFrame:
     return emb.withColumn("embedding", F.slice("embedding", 21 * lane + 1, 22 if lane == 2 else 21))
 
 
+def _half(emb: DataFrame, lane: int) -> DataFrame:
+    """The first or the last 32 values."""
+    return emb.withColumn("embedding", F.slice("embedding", 32 * lane + 1, 32))
+
+
 #: Candidates of each lane, and the lanes' weights.
 LANE_K = 30
 LANE_WEIGHTS = (0.45, 0.25, 0.30)
@@ -51,7 +56,7 @@ def multi_lane_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     emb = table(spark, d, "embeddings")
-    lanes = [vectors.nearest(_slice(emb, i), _queries(_slice(emb, i)), 30) for i in range(2)]
+    lanes = [vectors.nearest(_half(emb, i), _queries(_half(emb, i)), 30) for i in range(2)]
     return vectors.top_k(vectors.fuse([(lanes[0], 10.0), (lanes[1], 1.0)]), "query_id", "item_id", "score", 5)
 
 
@@ -194,6 +199,7 @@ _COS = """nearest as (select query_id, item_id, score, row_number() over (partit
 _BASE = "with base as (select vec_id, label, embedding::double[] as v from embeddings), " + _COS
 _LANE = "lane{i} as (select query_id, item_id, score, row_number() over (partition by query_id order by score desc, item_id) as rank from (select q.vec_id as query_id, e.vec_id as item_id, round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) as score from (select vec_id, embedding[{a}:{b}]::double[] as v from embeddings) e join (select vec_id, embedding[{a}:{b}]::double[] as v from embeddings) q on q.vec_id % 100 = 0 and e.vec_id <> q.vec_id) t)"
 _LANES = "with " + ", ".join(_LANE.format(i=i, a=21 * i + 1, b=21 * i + 21 + (i == 2)) for i in range(3))
+_HALVES = "with " + ", ".join(_LANE.format(i=i, a=32 * i + 1, b=32 * i + 32) for i in range(2))
 _PER = "per as (select n.query_id, b.label, max(score) as best, count(case when e.label = b.label then 1 end) as found, min(case when e.label = b.label then rank end) as first from nearest n join base b on b.vec_id = n.query_id join base e on e.vec_id = n.item_id where rank <= 5 group by 1, 2)"
 _TOK = "select {k}, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) as term from {t}"
 
@@ -203,7 +209,7 @@ ORACLES = {
         placed as (select query_id, item_id, least(lane0.rank, 31) as rank0, least(lane1.rank, 31) as rank1, least(lane2.rank, 31) as rank2, round(0.45 * lane0.score + 0.25 * lane1.score + 0.30 * lane2.score, 5) as score
           from met join lane0 using (query_id, item_id) join lane1 using (query_id, item_id) join lane2 using (query_id, item_id))
         select * from (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from placed) u where rank <= 5""",
-    "rrf_fusion": _LANES + """ select * from (select query_id, item_id, score, row_number() over (partition by query_id order by score desc, item_id) as rank from (
+    "rrf_fusion": _HALVES + """ select * from (select query_id, item_id, score, row_number() over (partition by query_id order by score desc, item_id) as rank from (
         select query_id, item_id, round(sum(part), 8) as score from (select query_id, item_id, 10.0e0 / (60 + rank) as part from lane0 where rank <= 30 union all select query_id, item_id, 1.0e0 / (60 + rank) from lane1 where rank <= 30) p group by 1, 2) t) u where rank <= 5""",
     "recall_mrr": _BASE + ", " + _PER + """ select label, count(*) as queries_n, round(avg(case when expected = 0 then 0.0e0 else found::double / expected end), 4) as recall, round(avg(coalesce(1.0e0 / first, 0)), 4) as mrr
         from per join (select label, count(*) - 1 as expected from base group by label) x using (label) group by label""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +74,11 @@ PLAIN: dict[str, str] = {
 def best_config(spark: SparkSession, d: str) -> DataFrame:
     """The weight of two lanes with the highest share of queries that find their label in the best 5; ties: the least weight."""
     emb = table(spark, d, "embeddings")
-    lanes = [vectors.nearest(retrieval._slice(emb, i), retrieval._queries(retrieval._slice(emb, i)), 200).select("query_id", "item_id", F.col("score").alias(f"s{i}")) for i in range(2)]
-    swept = lanes[0].join(lanes[1], ["query_id", "item_id"]).withColumn("weight", F.explode(F.array(*(F.lit(w) for w in (0.25, 0.5, 0.75)))))
+    # both lanes of every pair of a query and an item, in one pass over the items; each task keeps its own best 5 of a weight and query
+    halves = lambda v: [F.slice(v, 1, 32), F.slice(v, 33, 32)]
+    met = emb.join(F.broadcast(retrieval._queries(emb)), F.col("vec_id") != F.col("query_id"))
+    score = [F.round(vectors.cosine(x, y), 6).alias(f"s{i}") for i, (x, y) in enumerate(zip(halves("embedding"), halves("query_vector")))]
+    swept = met.select("query_id", F.col("vec_id").alias("item_id"), *score).withColumn("weight", F.explode(F.array(*(F.lit(w) for w in (0.25, 0.5, 0.75)))))
     scored = swept.withColumn("score", F.round(F.col("weight") * F.col("s0") + (1 - F.col("weight")) * F.col("s1"), 5))
     order = Window.partitionBy("weight", "query_id").orderBy(F.desc("score"), "item_id")
     best = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
@@ -161,8 +166,8 @@ def near_duplicate_review_difflib(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES = {name: relational._NAME.sub(r"\1", text) for name, text in (SQL | PLAIN).items()} | {
-    "best_config": "with " + ", ".join(retrieval._LANE.format(i=i, a=21 * i + 1, b=21 * i + 21) for i in range(2)) + """,
-        scored as (select w.weight, query_id, item_id, round(w.weight * lane0.score + (1 - w.weight) * lane1.score, 5) as score from lane0 join lane1 using (query_id, item_id), (select unnest([0.25e0, 0.5e0, 0.75e0]) as weight) w where lane0.rank <= 200 and lane1.rank <= 200),
+    "best_config": retrieval._HALVES + """,
+        scored as (select w.weight, query_id, item_id, round(w.weight * lane0.score + (1 - w.weight) * lane1.score, 5) as score from lane0 join lane1 using (query_id, item_id), (select unnest([0.25e0, 0.5e0, 0.75e0]) as weight) w),
         best as (select * from (select *, row_number() over (partition by weight, query_id order by score desc, item_id) as rn from scored) t where rn <= 5),
         hits as (select b.weight, b.query_id, max(case when i.label = q.label then 1 else 0 end) as hit from best b join embeddings i on i.vec_id = b.item_id join embeddings q on q.vec_id = b.query_id group by 1, 2),
         metrics as (select weight, round(avg(hit), 4) as metric from hits group by 1)
