@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import replies
-from ..operators import memories, restructure
+from ..operators import memories, querysets, restructure
 from ..session import checkpoints, table
 
 
@@ -77,8 +77,32 @@ def restructured_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("record_id", ids, refs, none.alias("code"), none.alias("message")).unionByName(issues.select("record_id", none.alias("ids"), none.alias("refs"), "code", "message"))
 
 
-QUERIES = {"decoded_replies": decoded_replies, "walked_values": walked_values, "user_memories": user_memories, "restructured_records": restructured_records}
+def query_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty and seventy-five queries of five kinds for parts; many parts share a name, so texts repeat."""
+    checkpoints(spark)
+    parts = querysets.strided(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+    texts = F.array(F.concat(F.lit("what is "), "p_name"), F.upper(F.concat_ws(" ", "p_name", "p_type")), F.concat_ws(" ", F.lit("quick"), "p_name"), F.concat_ws(" ", F.lit("not"), "p_brand"), F.concat_ws(" ", (F.col("p_size") % 20).cast("string"), "p_name"))
+    return querysets.query_sets(parts.select("ordinal", F.col("p_partkey").alias("item_id"), texts.alias("texts")), KINDS, 20, 30)
+
+
+#: Kinds of queries, in the order in which they are dealt.
+KINDS = ["ingredient", "synonym", "scenario", "preference", "combined"]
+
+QUERIES = {"query_sets": query_sets, "decoded_replies": decoded_replies, "walked_values": walked_values, "user_memories": user_memories, "restructured_records": restructured_records}
 ORACLES = {
+    "query_sets": """
+    WITH RECURSIVE p AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part),
+    c AS (
+      SELECT row_number() OVER (ORDER BY place % 2, place) AS o, p_partkey,
+        ['what is ' || p_name, upper(p_name || ' ' || p_type), 'quick ' || p_name, 'not ' || p_brand, (p_size % 20) || ' ' || p_name] AS t FROM p
+    ), f AS (
+      SELECT 0::BIGINT AS o, 0 AS n, []::VARCHAR[] AS seen, NULL::VARCHAR AS query, NULL::BIGINT AS item
+      UNION ALL
+      SELECT c.o, CASE WHEN list_contains(seen, t[n % 5 + 1]) THEN n ELSE n + 1 END, CASE WHEN list_contains(seen, t[n % 5 + 1]) THEN seen ELSE list_append(seen, t[n % 5 + 1]) END,
+        CASE WHEN NOT list_contains(seen, t[n % 5 + 1]) THEN t[n % 5 + 1] END, p_partkey FROM f JOIN c ON c.o = f.o + 1 WHERE n < 50
+    )
+    SELECT CASE WHEN n <= 20 THEN 'dev-' ELSE 'hol-' END || lpad(n::VARCHAR, 3, '0') AS query_id, CASE WHEN n <= 20 THEN 'development' ELSE 'holdout' END AS split, n::INT AS number,
+      ['ingredient', 'synonym', 'scenario', 'preference', 'combined'][(n - 1) % 5 + 1] AS kind, query, item AS item_id FROM f WHERE query IS NOT NULL""",
     "decoded_replies": """
     SELECT conv_id, CASE conv_id % 7 WHEN 0 THEN 'json' WHEN 2 THEN 'root' WHEN 3 THEN CASE WHEN bool_or(turn = 0) THEN 'item' END WHEN 4 THEN 'count' END AS error,
       CASE WHEN conv_id % 7 IN (0, 2, 4) OR (conv_id % 7 = 3 AND bool_or(turn = 0)) THEN 0 ELSE count(*) END::INT AS items,

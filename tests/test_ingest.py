@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import replies
-from millrace.operators import cache, memories, restructure
+from millrace.operators import cache, memories, querysets, restructure
 from millrace.streaming import frames
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -194,3 +194,27 @@ def test_restructured_or_rejected(spark, tmp_path):
     told = sorted(((r["record_id"], r["message"], r["path"]) for r in issues.collect()), key=repr)
     assert told == sorted([(2, "step 1 names an ingredient that the record has not: egg", "steps"), (3, "unknown ingredient: stone", "ingredients"), (4, "unknown ingredient: grain", "ingredients"), (1, "unknown ingredient: moon", "steps"), (6, "unknown ingredient: null", "ingredients")], key=repr)
     assert {r["code"] for r in issues.collect()} == {"RECIPE_TRANSFORM_FAILED"}
+
+
+def test_query_sets_skip_repeats_while_kinds_go_in_turn(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rng = random.Random(3)
+    items = [(i * 3, [rng.choice([None, f"{k} {rng.randrange(40)}"]) for k in "abcde"]) for i in range(2001)]
+    table = spark.createDataFrame(items, "item_id long, texts array<string>")
+    ordered = items[::2] + items[1::2]
+    for spread in (1, 7):
+        found = querysets.strided(table.repartition(spread), "item_id")
+        assert [r["item_id"] for r in found.orderBy("ordinal").collect()] == [i for i, _ in ordered]
+        expected, seen = [], set()
+        for item, texts in ordered:
+            text = texts[len(expected) % 5]
+            if text is not None and text not in seen and len(expected) < 125:
+                seen.add(text)
+                expected.append((len(expected) + 1, "abcde"[len(expected) % 5], text, item))
+        out = querysets.query_sets(found, list("abcde"))
+        assert [tuple(r) for r in out.orderBy("number").select("number", "kind", "query", "item_id").collect()] == expected and len(expected) == 125
+        assert out.where("split = 'development'").count() == 50 and expected[-1][3] != ordered[124][0]
+    with pytest.raises(ValueError):
+        querysets.query_sets(found.where("ordinal < 60"), list("abcde"))
+    with pytest.raises(ValueError):
+        querysets.query_sets(found.limit(0), list("abcde"))
