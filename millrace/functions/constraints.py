@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,28 +15,59 @@ SERVINGS = r"(\d{1,2})\s*(?:人份|人|servings?)"
 MINUTES = r"(\d{1,3})\s*分钟"
 
 
+_automata: dict[tuple[str, ...], object] = {}
+
+
+def _automaton(aliases: tuple[str, ...]):
+    """One automaton a worker and vocabulary; aliases by their order."""
+    if aliases not in _automata:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for place, alias in enumerate(aliases):
+            if alias not in automaton:
+                automaton.add_word(alias, (place, alias))
+        automaton.make_automaton()
+        _automata[aliases] = automaton
+    return _automata[aliases]
+
+
+def mentioned(text: str | None, aliases: tuple[str, ...]) -> list[str]:
+    """Aliases (lower case, longest first) in a text as it spells them; see mentions()."""
+    text = text or ""
+    folded, out = text.lower(), []
+    if not aliases or not folded:
+        return out
+    latin = lambda c: c.isascii() and c.isalnum()
+    hits = []
+    for last, (place, alias) in _automaton(aliases).iter(folded):
+        start, stop = last - len(alias) + 1, last + 1
+        if not alias.isascii() or not ((start and latin(folded[start - 1])) or (stop < len(folded) and latin(folded[stop]))):
+            hits.append((place, start, stop))
+    taken = bytearray(len(folded))  # characters that a longer or earlier one has
+    before = (-1, 0)  # the alias before, and where its last place ends: places of one alias never overlap
+    for place, start, stop in sorted(hits):
+        if place == before[0] and start < before[1]:
+            continue
+        before = (place, stop)
+        if not any(taken[start:stop]):
+            taken[start:stop] = b"\x01" * (stop - start)
+            out.append((text if len(text) == len(folded) else folded)[start:stop])
+    return out
+
+
 def mentions(c: Column, aliases: list[str]) -> Column:
     """Aliases in the text as it spells them, longest alias first, none over another; Latin ones stand between other signs.
 
-    Aliases are a small vocabulary and go with the task.
+    One pass over a text finds all of a vocabulary, of any size that a worker holds; empty aliases are left out.
     """
-    ordered = sorted((a.lower() for a in aliases), key=len, reverse=True)
-    patterns = [re.compile(rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])" if a.isascii() else re.escape(a)) for a in ordered]
+    ordered = tuple(sorted((a.lower() for a in aliases if a), key=len, reverse=True))
 
     @F.pandas_udf("array<string>")
     def found(texts):
         import pandas as pd
 
-        def one(text: str | None) -> list[str]:
-            folded, taken, out = (text or "").lower(), [], []
-            for pattern in patterns:
-                for m in pattern.finditer(folded):
-                    if all(m.end() <= lo or hi <= m.start() for lo, hi in taken):
-                        taken.append(m.span())
-                        out.append((text if len(text) == len(folded) else folded)[m.start() : m.end()])
-            return out
-
-        return pd.Series([one(t) for t in texts])
+        return pd.Series([mentioned(t, ordered) for t in texts])
 
     return found(c)
 
