@@ -37,7 +37,7 @@ LARGE_BUCKET = 8
 COMPARED_BUCKET = 3
 #: Bits of a k-mer's slot at most: 2 ** 22 slots are 4 MB in each task.
 SLOT_BITS = 22
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import documents, stored
 
 #: Distinct words whose ids a worker keeps; others are tokenized each time they come.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 _ALPHA_TAIL = re.compile(rb"([A-Za-z]+)([!-&(-@\[-`{-~][^A-Za-z]*)")
 
 
