@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -28,21 +30,21 @@ def top_k(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataF
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: Query vectors that go to all tasks at once.
-QUERY_BLOCK = 20_000
-
-
 def nearest(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, item_id, score, rank) of the k nearest items of each query by exact cosine, itself left out.
 
-    queries: (query_id, query_vector), a stated set; blocks of about QUERY_BLOCK of them go to all tasks, and items
-    are scanned once a block. Each task keeps its own k best of a query before the shuffle (a window group limit).
+    queries: (query_id, query_vector), a stated set. A score is null, and comes last, where a value is null or two lengths differ (0 where a length is none).
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    each = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    seen = items.select(F.col(item).alias("item_id"), F.col(vector).alias("_v"))
-    pairs = reduce(DataFrame.unionByName, [seen.join(F.broadcast(q), F.col("item_id") != F.col("query_id")) for q in each])
-    return top_k(pairs.select("query_id", "item_id", F.round(cosine(F.col("_v"), F.col("query_vector")), 6).alias("score")), "query_id", "item_id", "score", k)
+    return mixed_nearest(items, queries, k, [(0, None)], [1.0], blocks.DIGITS, item, vector)
+
+
+def mixed_nearest(
+    items: DataFrame, queries: DataFrame, k: int, parts: list[tuple[int, int | None]], weights: list[float], digits: int, item: str = "vec_id", vector: str = "embedding"
+) -> DataFrame:
+    """nearest, by the weighted sum of the cosines of the vectors' parts (start and end, from 0); cosines are rounded, then the sum."""
+    rows = items.select(F.col(item).alias("id"), F.col(vector).alias("v"))
+    asked = queries.select(F.col("query_id").alias("id"), F.col("query_vector").alias("v"))
+    return top_k(blocks.best_of_tasks(rows, asked, k, parts, weights, digits), "query_id", "item_id", "score", k)
 
 
 def tfidf(tokens: DataFrame, doc: str = "doc_id", term: str = "term") -> tuple[DataFrame, DataFrame]:
