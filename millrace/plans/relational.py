@@ -9,6 +9,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 
@@ -245,5 +246,15 @@ def sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {name: sql_query(text) for name, text in SQL.items()}
+def self_join_inequality(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of one nation and segment whose balances differ by less than 20: they meet only where their balances are in neighbouring bins."""
+    # wider than 20, so that a rounded quotient moves no pair further than one bin
+    at = F.floor(F.col("c_acctbal").cast("double") / 21)
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal", at.alias("_bin"))
+    near = c.withColumn("_bin", F.explode(F.array(F.col("_bin") - 1, F.col("_bin"), F.col("_bin") + 1)))
+    met = c.alias("a").join(near.alias("b"), ["c_nationkey", "c_mktsegment", "_bin"]).where("a.c_custkey < b.c_custkey and abs(a.c_acctbal - b.c_acctbal) < 20")
+    return met.select(F.col("a.c_custkey").alias("kept"), F.col("b.c_custkey").alias("other"))
+
+
+QUERIES = {name: sql_query(text) for name, text in SQL.items()} | {"self_join_inequality": self_join_inequality}
 ORACLES = {name: _NAME.sub(r"\1", text) for name, text in (SQL | PLAIN).items()}
