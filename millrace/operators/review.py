@@ -79,13 +79,55 @@ def rejected(records: DataFrame, reviews: DataFrame) -> DataFrame:
     return at.join(bad.withColumn("_bad", F.lit(True)), "kind", "left").where(F.col("_bad") | (F.col("ordinal") != F.col("kind"))).select(F.col("ordinal").alias("id"))
 
 
+#: Records of the first block of first_near_pairs, how each next one grows, and how many are tried so before all pairs are joined.
+FIRST_LEFTS, GROWTH, MOST_LEFTS = 64, 2, 2_000
+
+
 def first_near_pairs(records: DataFrame, ingredients: float = INGREDIENTS, name: float = 0.6, first: int = 20, measure: str = "sequence") -> DataFrame:
     """(left_id, right_id): the first pairs, in order, of one category that are alike in ingredients and in name.
 
     records: ordinal, category, name, core. Names are compared as they are; a null category is none; null arrays are
     empty sets, which are alike; a null name is like no other. `first` is a report's length.
+
+    As pairs go by their left record, blocks of the least ordinals meet all later records, without a shuffle, until
+    `first` pairs are found: no later block has an earlier pair. Records past MOST_LEFTS are joined by their sets.
     """
-    pairs = similarity.set_pairs(records.where("category is not null").select("category", "ordinal", F.col("core").alias("elements")), ["category"], ingredients, item="ordinal")
-    names = [records.select(F.col("ordinal").alias(f"{s}_id"), F.col("name").alias(s)) for s in ("left", "right")]
-    met = pairs.select("left_id", "right_id").join(names[0], "left_id").join(names[1], "right_id")
-    return met.where(ratio(measure, F.col("left"), F.col("right")) >= name).select("left_id", "right_id").orderBy("left_id", "right_id").limit(first)
+    core = F.array_distinct(F.coalesce(F.col("core").cast("array<string>"), F.array().cast("array<string>")))
+    known = records.where("category is not null and name is not null and ordinal is not null").select("ordinal", "category", "name", core.alias("core")).checkpoint()
+    found, count, tried, size, after = known.select(F.col("ordinal").alias("left_id"), F.col("ordinal").alias("right_id")).limit(0), 0, 0, FIRST_LEFTS, None
+    while True:
+        rest = known if after is None else known.where(F.col("ordinal") > F.lit(after))
+        if tried >= MOST_LEFTS:
+            pairs = similarity.set_pairs(rest.select("category", "ordinal", F.col("core").alias("elements")), ["category"], ingredients, item="ordinal")
+            names = [rest.select(F.col("ordinal").alias(f"{s}_id"), F.col("name").alias(s)) for s in ("left", "right")]
+            met = pairs.select("left_id", "right_id").join(names[0], "left_id").join(names[1], "right_id")
+            met = met.where(ratio(measure, F.col("left"), F.col("right")) >= name).select("left_id", "right_id")
+            break
+        last = rest.select("ordinal").distinct().orderBy("ordinal").limit(size).agg(F.max("ordinal")).first()[0]
+        if last is None:
+            met = found.limit(0)
+            break
+        met = _near_lefts(rest.where(F.col("ordinal") <= F.lit(last)), rest, ingredients, name, measure).orderBy("left_id", "right_id").limit(first - count).checkpoint()
+        found, count = found.unionByName(met), count + met.count()
+        if count >= first:
+            met = found.limit(0)
+            break
+        tried, size, after = tried + size, size * GROWTH, last
+    return found.unionByName(met).orderBy("left_id", "right_id").limit(first)
+
+
+def _near_lefts(lefts: DataFrame, rights: DataFrame, ingredients: float, name: float, measure: str) -> DataFrame:
+    """Pairs of a block of records, sent to all tasks, and those after them; what is cheap to tell is asked first."""
+    left, right = (df.select("category", *(F.col(c).alias(f"{s}_{c}") for c in ("ordinal", "name", "core"))) for df, s in ((lefts, "left"), (rights, "right")))
+    sizes = F.size("left_core"), F.size("right_core")
+    fits = (F.col("left_ordinal") < F.col("right_ordinal")) & (F.least(*sizes) >= ingredients * F.greatest(*sizes) - 1e-9)
+    a, b = F.col("left_name"), F.col("right_name")
+    n = F.length(a), F.length(b)
+    # neither measure exceeds what the lengths allow; an edit distance beyond the most is not computed to its end
+    if measure == "edit":
+        most = F.floor(F.greatest(*n) * (1 - name) + 1e-9).cast("int")
+        fits &= (F.abs(n[0] - n[1]) <= most) & (F.levenshtein(a, b) <= most)
+    else:
+        fits &= 2 * F.least(*n) >= name * (n[0] + n[1]) - 1e-9
+    met = right.join(F.broadcast(left), "category").where(fits & (text.jaccard(F.col("left_core"), F.col("right_core")) >= ingredients))
+    return met.where(ratio(measure, a, b) >= name).select(F.col("left_ordinal").alias("left_id"), F.col("right_ordinal").alias("right_id"))
