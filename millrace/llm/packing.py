@@ -12,6 +12,7 @@ pieces of their length.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -52,17 +53,21 @@ class WordIds(dict):
         self.shown = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
     def __missing__(self, run: bytes) -> bytes:
-        parts = _ALPHA_TAIL.fullmatch(run)
-        if parts:  # letters, then signs: the splitter parts them there
-            ids = self[parts[1]] + self[parts[2]]
+        if run.isalpha():  # ASCII letters
+            found = self.model.tokenize(run.lower().decode())
+        elif parts := _ALPHA_TAIL.fullmatch(run):  # letters, then signs: the splitter parts them there, and the parts are kept
+            return self[parts[1]] + self[parts[2]]
         else:
             text = run.decode("utf-8", "surrogatepass")
             if text.isalpha() and ord(max(text)) < 256:
                 lower = text.lower()
-                found = [t.id for t in self.model.tokenize(lower if lower.isascii() else lower.translate(self.shown))]
+                found = self.model.tokenize(lower if lower.isascii() else lower.translate(self.shown))
             else:
-                found = self.whole.encode(text, add_special_tokens=False).ids
-            ids = np.array(found, "<u4").tobytes()
+                return self.kept(run, self.whole.encode(text, add_special_tokens=False).ids)
+        return self.kept(run, [t.id for t in found])
+
+    def kept(self, run: bytes, found: list[int]) -> bytes:
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(self) < CACHED_WORDS and len(run) <= 64:
             self[run] = ids
         return ids
