@@ -22,7 +22,9 @@ from .common import documents, own_names
 BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
 #: Bytes of text that are hashed at once; a longer text is a batch of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Texts that a task takes out of a batch at once.
+TEXTS = 256
 UNKNOWN = "und"
 
 
@@ -173,13 +175,15 @@ def predicted(docs: DataFrame, name: str, model: Model | None = None, sample: in
         return docs.select("*", nothing.alias(name))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(texts):
-        import pandas as pd
-
-        sure = text_scores(shared.value, [prepared(t) for t in texts])
-        best = sure.argmax(axis=1)
-        return pd.DataFrame({"lang_pred": np.array(shared.value.languages, object)[best], "score": sure[np.arange(len(best)), best]})
+        names, score = [np.zeros(0, object)], [np.zeros(0)]
+        for lo in range(0, len(texts), TEXTS):
+            sure = text_scores(shared.value, [prepared(t.as_py()) for t in texts.slice(lo, TEXTS)])
+            best = sure.argmax(axis=1)
+            names.append(np.array(shared.value.languages, object)[best])
+            score.append(sure[np.arange(len(best)), best])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(names), pa.string()), pa.array(np.concatenate(score))], names=["lang_pred", "score"])
 
     found, letters = F.col(name), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     score = F.least(found["score"], F.lit(1.0))
