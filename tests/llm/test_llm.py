@@ -398,3 +398,16 @@ def test_image_copies_meet_in_crowded_buckets(spark):
     links, _ = media.links_of(spark.createDataFrame(pictures, "h long, corners binary"), 4, 20, 5)
     linked = [(r["a"], r["b"]) for r in links.collect()]
     assert {x for k in linked for x in k} == set(range(10)) and len(linked) >= 9
+
+
+def test_image_copies_leave_out_no_pair_of_a_crowded_bucket(spark):
+    """Twenty pairs whose descriptors all fall into the same buckets: what two heads and one round miss is found in the end."""
+    rng, pictures = random.Random(4), {}
+    for pair in range(20):
+        places = [(rng.randrange(10, 200), rng.randrange(10, 200)) for _ in range(6)]
+        for image in (pair, 100 + pair):
+            pictures[image] = np.array([[int(media.spots(np.array([x]), np.array([y]), 0, np.array([0.1]))[0]), i << 40, 0] for i, (x, y) in enumerate(places)], np.int64)
+    agree = {(a, b) for a in pictures for b in pictures if a < b and media.consensus(pictures[a], pictures[b], 4, 20)}
+    assert agree == {(pair, 100 + pair) for pair in range(20)}
+    links, _ = media.links_of(spark.createDataFrame([(h, bytearray(c.tobytes())) for h, c in pictures.items()], "h long, corners binary"), 4, 20, 1)
+    assert {(r["a"], r["b"]) for r in links.collect()} == agree
