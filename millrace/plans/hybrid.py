@@ -36,7 +36,7 @@ def document_queries(items: DataFrame) -> DataFrame:
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of each query by rule and vector lanes, within the current data."""
     checkpoints(spark)
-    items = hybrid.in_scope(document_items(spark, sf_dir), 64, dataset="v1")
+    items = hybrid.in_scope(document_items(spark, sf_dir), 64, dataset="v1").checkpoint()  # texts are read once
     return hybrid.retrieve(items, document_queries(items)).select("query_id", "item_id", F.col("rank").cast("int").alias("rank"), "score", "fused", "coverage", "in_rule", "in_vector")
 
 

@@ -63,6 +63,30 @@ def test_retrieval_against_scoring_every_item(spark, tmp_path, monkeypatch):
     assert hybrid.retrieve(table.limit(0), asked).count() == 0
 
 
+def test_lanes_by_matrices_and_by_columns(spark, tmp_path, monkeypatch):
+    """Whole rows are scored in matrices, those with nulls, no numbers or another length by columns; both as columns alone would."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rng = random.Random(7)
+    words = [None, "leek", "rice", "tofu", "", "a b"]
+    pick = lambda n: [rng.choice(words) for _ in range(rng.randint(0, n))]
+    vector = lambda: [rng.choice([0.0, 1.0, -0.5]) for _ in range(3)]
+    items = [[i, rng.choice(["Rice bowl", "rice", "!", "Tofu"]), pick(4), pick(2), pick(3), pick(2), float(rng.randint(5, 90)), rng.random(), vector(), "v1", "m"] for i in range(200)]
+    queries = [[q, rng.choice(["rice bowl please", "tofu\nrice", ""]), pick(3), pick(2), pick(3), pick(2), pick(1), pick(1), rng.choice([None, 30.0]), rng.choice([None, 60.0]), rng.choice([None, 0.5]), vector()] for q in range(12)]
+    for i, (at, value) in enumerate([(1, None), (2, None), (6, None), (6, float("nan")), (7, None), (8, None), (8, [1.0, None, 0.5]), (8, [1.0]), (8, [float("nan")] * 3), (5, None)]):
+        items[10 * i][at] = value
+    queries[2][2], queries[3][1], queries[4][11] = None, None, [1.0, None, 0.0]
+    table, asked = spark.createDataFrame([tuple(r) for r in items], ITEM).repartition(3), spark.createDataFrame([tuple(r) for r in queries], QUERY)
+    met = hybrid._met(table, asked).collect()
+    met_odd, met_rows = hybrid._met, []
+    monkeypatch.setattr(hybrid, "_met", lambda i, q: met_rows.append((i.count(), q.count())) or met_odd(i, q))
+    lanes = dict(zip(("rule", "cosine"), hybrid.candidates(table, asked, k=7)))
+    assert met_rows == [(10, 12), (190, 3)]
+    for name, lane in lanes.items():
+        best = lambda r: (r[name] is None, not (r[name] is not None and math.isnan(r[name])), -(r[name] or 0.0), r["item_id"])  # noqa: B023, E731
+        expected = [(q[0], r["item_id"], n) for q in queries for n, r in enumerate(sorted((r for r in met if r["query_id"] == q[0]), key=best)[:7], 1)]
+        assert sorted((r["query_id"], r["item_id"], r["rank"]) for r in lane.collect()) == sorted(expected)
+
+
 def test_forwarding_of_expectations(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     expected = spark.createDataFrame([
