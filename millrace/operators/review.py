@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import similarity
+from . import parts, similarity
 from .blocks import rounded
 from .names import name_pairs, ratio
 
 #: What a decision asks for at least: alike in ingredients, or in name.
 INGREDIENTS, NAME = 0.65, 0.78
+#: What rejection across names asks for: alike in both, with equal methods.
+REJECTED_INGREDIENTS, REJECTED_NAME = 0.8, 0.55
 
 
 def review_kinds(records: DataFrame) -> DataFrame:
@@ -136,6 +138,39 @@ def rejected(records: DataFrame, reviews: DataFrame) -> DataFrame:
     return at.join(bad.withColumn("_bad", F.lit(True)), "kind", "left").where(F.col("_bad") | (F.col("ordinal") != F.col("kind"))).select(F.col("ordinal").alias("id"))
 
 
+def rejected_records(records: DataFrame, measure: str = "sequence") -> DataFrame:
+    """(id): what rejected() makes of pair_reviews(), without a list of pairs.
+
+    A record is rejected if it is not the first of its name, so kinds of one name need no pairs. Across names it takes
+    ingredients alike by 0.8, equal methods and names alike by 0.55, with an earlier kind; texts are no part of this.
+    They tell kinds apart by a digest. Records of a name's first ordinal alone are asked for earlier ones.
+    """
+    keyed = _keyed(records)
+    rows = keyed.select("ordinal", "name_key", F.sha2(F.to_json(F.struct("core", "methods", "steps")), 256).alias("digest")).checkpoint()
+    kinds = rows.groupBy("name_key", "digest").agg(F.min("ordinal").alias("kind"))
+    firsts = rows.groupBy("name_key").agg(F.min("ordinal").alias("first")).checkpoint()
+    later = kinds.join(firsts.hint("merge"), "name_key").where("kind > first").select(F.col("kind").alias("id"))
+    # forms: kinds but for their steps
+    forms = keyed.groupBy("name_key", "core", "methods").agg(F.min("ordinal").alias("id")).where("id is not null").withColumn("group", F.xxhash64("name_key")).checkpoint()
+    met = parts.alike_candidates(forms.select("id", F.transform("core", lambda x: F.xxhash64(x)).alias("elements"), "group"), REJECTED_INGREDIENTS)
+    bare = forms.where(F.size("core") == 0).select("id", "group", "methods")
+    sides = [bare.select("methods", F.col("id").alias(f"{s}_id"), F.col("group").alias(f"_{s}")) for s in ("left", "right")]
+    empty = sides[0].join(sides[1].hint("merge"), "methods").where("left_id < right_id and _left <> _right").select("left_id", "right_id")
+    first = firsts.select(F.col("first").alias("right_id")).distinct()
+    left, right = (forms.select(F.col("id").alias(f"{s}_id"), F.struct("name_key", "methods").alias(s)).hint("merge") for s in ("left", "right"))
+    met = met.unionByName(empty).join(first.hint("merge"), "right_id", "left_semi").join(left, "left_id").join(right, "right_id")
+    n = F.length("left.name_key"), F.length("right.name_key")
+    # neither measure exceeds what the lengths allow
+    fits = 2 * F.least(*n) >= REJECTED_NAME * (n[0] + n[1]) - 1e-9 if measure == "sequence" else F.least(*n) >= REJECTED_NAME * F.greatest(*n) - 1e-9
+    met = met.where(fits & (text.jaccard(F.col("left.methods"), F.col("right.methods")) >= 0.99))
+    named = met.where(ratio(measure, F.col("left.name_key"), F.col("right.name_key")) >= REJECTED_NAME).select("left_id", "right_id").checkpoint()
+    left, right = (forms.select(F.col("id").alias(f"{s}_id"), F.col("core").alias(s)).hint("merge") for s in ("left", "right"))
+    alike = named.join(left, "left_id").join(right, "right_id").where(text.jaccard(F.col("left"), F.col("right")) >= REJECTED_INGREDIENTS)
+    bad = later.unionByName(alike.select(F.col("right_id").alias("id"))).distinct().select(F.col("id").alias("kind"), F.lit(True).alias("_bad"))
+    at = rows.join(kinds.hint("merge"), ["name_key", "digest"]).select("ordinal", "kind")
+    return at.join(bad.hint("merge"), "kind", "left").where(F.col("_bad") | (F.col("ordinal") != F.col("kind"))).select(F.col("ordinal").alias("id"))
+
+
 #: Records of the first block of first_near_pairs, how each next one grows, and how many are tried so before all pairs are joined.
 FIRST_LEFTS, GROWTH, MOST_LEFTS = 64, 2, 2_000
 
